@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .nearcopies import similar_pairs, version_groups
 from .ranking import rank_items
 from .survivor import claims, fuse, survivors
 
@@ -27,6 +28,24 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_items(_candidates(spark, d), "query_id", "company_id", ("fused", "best_doc", "confidence"))
 
 
+# ---- 3: near-duplicate records with small edits ----------------------------------------------------
+
+#: The problem's own statement: three words, half of the runs, descriptions longer than 200 characters.
+POSTINGS = {"id": "id", "text": "description", "run": 3, "at_least": 0.5, "longer_than": 200}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of postings that share at least half of their three-word runs."""
+    pairs = similar_pairs(load(spark, d, "lead_company_job", "id", "description"), **POSTINGS)
+    return pairs.select(F.col("id_a").alias("job_id_a"), F.col("id_b").alias("job_id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with its class of copies, its group of versions and its number of links."""
+    groups = version_groups(load(spark, d, "lead_company_job", "id", "description"), **POSTINGS)
+    return groups.withColumnRenamed("id", "job_id")
+
+
 # ---- 7: best representative of each duplicate group ------------------------------------------------
 
 FIELDS = ("industry", "hq_city", "hq_state")
@@ -60,5 +79,5 @@ k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY c
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p7_found": p7_found, "p7_fused": p7_fused}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_fused": p7_fused}
 SQL = {"p7_found": _P7_SQL}
