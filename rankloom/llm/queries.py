@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .mapping import map_fields
 from .nearcopies import similar_pairs, version_groups
 from .ranking import rank_items
 from .survivor import claims, fuse, survivors
@@ -46,6 +47,24 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "job_id")
 
 
+# ---- 4: free-entered values to a reference list ----------------------------------------------------
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each free value with the entry it names, 0 for none."""
+    signals = load(spark, d, "company_signal", "company_id", "industry_raw", "technologies")
+    states = load(spark, d, "lead_company", "id", "hq_state")
+    fields = signals.select(F.lit("industry_raw").alias("field"), F.lit("industry").alias("kind"), F.col("company_id").alias("record_id"), F.col("industry_raw").alias("raw_value"))
+    fields = fields.unionByName(signals.select(F.lit("technologies").alias("field"), F.lit("technology").alias("kind"), F.col("company_id").alias("record_id"), F.explode("technologies").alias("raw_value")))
+    fields = fields.unionByName(states.select(F.lit("hq_state").alias("field"), F.lit("state").alias("kind"), F.col("id").alias("record_id"), F.col("hq_state").alias("raw_value")))
+    return map_fields(fields, load(spark, d, "canonical_term"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no listed term, with the records that hold them."""
+    return p4_found(spark, d).where("term_id = 0").groupBy("field", "raw_value").agg(F.count("*").alias("n_records"))
+
+
 # ---- 7: best representative of each duplicate group ------------------------------------------------
 
 FIELDS = ("industry", "hq_city", "hq_state")
@@ -79,5 +98,5 @@ k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY c
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_fused": p7_fused}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p7_found": p7_found, "p7_fused": p7_fused}
 SQL = {"p7_found": _P7_SQL}
