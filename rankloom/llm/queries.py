@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..sources.tables import load
 from .mapping import map_fields
 from .nearcopies import similar_pairs, version_groups
 from .ranking import rank_items
-from .survivor import claims, fuse, survivors
+from .survivor import claims, survivors
+from .vectors import neighbour_pairs, neighbours
 
 # ---- 1: one ranking from several scores ------------------------------------------------------------
 
@@ -65,6 +68,17 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).where("term_id = 0").groupBy("field", "raw_value").agg(F.count("*").alias("n_records"))
 
 
+# ---- 6: most similar vectors for every vector -------------------------------------------------------
+
+VECTORS = {"job_signal": ("job_id", "embedding"), "company_signal": ("company_id", "embedding"), "job_intent": ("id", "intent_embedding")}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which one is among the other's five nearest in the same column, from a cosine of 0.9."""
+    parts = [neighbour_pairs(neighbours(load(spark, d, t, i, v), id=i, vector=v, k=5, at_least=0.9)).select(F.lit(t).alias("src_table"), "id_a", "id_b") for t, (i, v) in VECTORS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- 7: best representative of each duplicate group ------------------------------------------------
 
 FIELDS = ("industry", "hq_city", "hq_state")
@@ -98,5 +112,5 @@ k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY c
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p7_found": p7_found, "p7_fused": p7_fused}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused}
 SQL = {"p7_found": _P7_SQL}
