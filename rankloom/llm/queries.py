@@ -11,6 +11,7 @@ from ..sources.tables import load
 from .mapping import map_fields
 from .nearcopies import similar_pairs, version_groups
 from .ranking import rank_items
+from .reading import reading_levels
 from .survivor import claims, survivors
 from .vectors import neighbour_pairs, neighbours
 
@@ -112,5 +113,24 @@ k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY c
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused}
+# ---- 10: reading level -----------------------------------------------------------------------------
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "reading_label"), id="doc_id", text="text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The band of each English document of at least 200 characters."""
+    long = load(spark, d, "documents", "doc_id", "n_chars").where("n_chars >= 200").select(F.col("doc_id").alias("id"))
+    return _levels(spark, d).where("lang = 'en'").join(long, "id", "left_semi").select(F.col("id").alias("doc_id"), "band")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, words and mean figures by language and band."""
+    figures = [F.round(F.avg(c), 4).alias(f"mean_{c}") for c in ("unfamiliar", "sentence")]
+    return _levels(spark, d).groupBy("lang", "band").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), *figures)
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL = {"p7_found": _P7_SQL}
