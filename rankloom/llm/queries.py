@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .containers import fill_containers, fill_report
 from .mapping import map_fields
+from .mixing import mix, mix_shares
 from .nearcopies import similar_pairs, version_groups
 from .ranking import rank_items
 from .reading import reading_levels
 from .survivor import claims, survivors
+from .tokens import token_counts
 from .vectors import neighbour_pairs, neighbours
 
 # ---- 1: one ranking from several scores ------------------------------------------------------------
@@ -113,6 +116,37 @@ k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY c
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 
+# ---- 8: filling containers -------------------------------------------------------------------------
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each piece of each document in its container, for each capacity."""
+    return fill_containers(token_counts(load(spark, d, "documents", "doc_id", "text"), id="doc_id", text="text"), load(spark, d, "container_spec")).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and space left by capacity."""
+    return fill_report(p8_containers(spark, d))
+
+
+# ---- 9: mixing sources -----------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(load(spark, d, "documents", "doc_id", "text", "source"), id="doc_id", text="text", keep=("source",))
+    return mix(sizes, load(spark, d, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often the mix uses each document."""
+    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mix_shares(_mixed(spark, d), load(spark, d, "mix_target"))
+
+
 # ---- 10: reading level -----------------------------------------------------------------------------
 
 
@@ -132,5 +166,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).groupBy("lang", "band").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), *figures)
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL = {"p7_found": _P7_SQL}
