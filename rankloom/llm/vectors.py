@@ -167,13 +167,18 @@ def _floats(planes: list[bytes], dim: int) -> np.ndarray:
     return np.ascontiguousarray(raw.transpose(0, 2, 1)).reshape(len(planes), -1).view(np.float32)
 
 
+def _digests(unit: np.ndarray) -> list[bytes]:
+    """128-bit hashes of unit vectors; -0 is 0."""
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(r) for r in np.ascontiguousarray(unit + np.float32(0))]
+
+
 def _marks(dim: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
             at, x = _matrix(b.column("vec"), dim)
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in _unit(x) + np.float32(0)), np.int64).reshape(-1, 2) if len(at) else np.empty((0, 2), np.int64)
+            h = np.frombuffer(b"".join(_digests(_unit(x))), np.int64).reshape(-1, 2) if len(at) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["id", "h1", "h2"])
 
     return mark
@@ -184,14 +189,20 @@ _ENTRY = "cell int, share int, id bigint, code bigint, raw binary"
 
 def _enter(index: VectorIndex):
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             for a in range(0, b.num_rows, 2048):
                 piece = b.slice(a, 2048)
                 at, x = _matrix(piece.column("vec"), index.dim)
                 if not len(at):
                     continue
-                ids = piece.column("id").take(pa.array(at)).to_numpy()
                 unit = _unit(x)
+                # A task lists a vector once, so that copies in a cell are no more than tasks.
+                new = np.array([h not in seen and not seen.add(h) for h in _digests(unit)], bool)
+                at, x, unit = at[new], x[new], unit[new]
+                if not len(at):
+                    continue
+                ids = piece.column("id").take(pa.array(at)).to_numpy()
                 code = np.ascontiguousarray(index.pack(index.encode(unit))).view(np.int64).ravel()
                 cells = index.nearest_cells(unit)
                 planes = _planes(x)
@@ -234,14 +245,24 @@ def _ask(index: VectorIndex):
     return ask
 
 
+def _packed(dim: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = _matrix(b.column("vec"), dim)
+            ends = pa.py_buffer((np.arange(len(x) + 1) * dim * 4).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(_planes(x).tobytes())])], ["b", "other"])
+
+    return packed
+
+
 def _rerank(dim: int, at_least: float):
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, y = _matrix(b.column("vec"), dim)
-            x = _floats(b.column("raw").take(pa.array(at)).to_pylist(), dim).astype(np.float64) if len(at) else np.empty((0, dim))
-            y = y.astype(np.float64)
-            cos = (x * y).sum(1) / np.maximum(np.sqrt((x * x).sum(1) * (y * y).sum(1)), 1e-300)
-            ok = at[cos >= at_least]
+            if not b.num_rows:
+                continue
+            x, y = (_floats(b.column(c).to_pylist(), dim).astype(np.float64) for c in ("raw", "other"))
+            cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            ok = np.flatnonzero(cos >= at_least)
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(cos[cos >= at_least])], ["a", "b", "cos"])
 
     return rerank
@@ -280,10 +301,13 @@ def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: flo
     def ask(table: pa.Table) -> pa.Table:
         return _ask(shared.value)(table)
 
-    live = rows.join(members.where("id <> rep").select("id"), "id", "left_anti")
-    entries = live.mapInArrow(enter, _ENTRY)
+    entries = rows.mapInArrow(enter, _ENTRY)
     close = entries.groupBy("cell", "share").applyInArrow(ask, "a bigint, b bigint, raw binary")
-    found = close.join(rows.select(F.col("id").alias("b"), "vec"), "b").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
+    found = close.join(rows.mapInArrow(_packed(dim), "b bigint, other binary"), "b").select("a", "b", "raw", "other").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
+    # Copies that different tasks listed become their class's smallest id.
+    for c in ("a", "b"):
+        found = found.join(members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
+    found = found.where("a <> b")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
     nearest = both.groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
