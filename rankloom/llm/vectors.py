@@ -159,12 +159,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> np.ndarray:
     """Float bytes by significance, so that what vectors have in common lies together and compresses."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)).reshape(len(x), -1)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.shape[1], 4).transpose(0, 2, 1)).reshape(len(x), 4 * x.shape[1])
 
 
 def _floats(planes: list[bytes], dim: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), 4, dim)
-    return np.ascontiguousarray(raw.transpose(0, 2, 1)).reshape(len(planes), -1).view(np.float32)
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).reshape(len(planes), 4 * dim).view(np.float32)
 
 
 def _digests(unit: np.ndarray) -> list[bytes]:
