@@ -71,8 +71,8 @@ def bucket_bounds(c: str | Column) -> tuple[Column, Column]:
 
 
 def days_since(c: str | Column, now: Column) -> Column:
-    """Whole elapsed days, never negative."""
-    return F.greatest(F.lit(0), F.timestamp_diff("DAY", _c(c), now))
+    """Whole elapsed days, never negative; null for a null date."""
+    return F.when(_c(c).isNotNull(), F.greatest(F.lit(0), F.timestamp_diff("DAY", _c(c), now)))
 
 
 def recency(days: Column) -> Column:

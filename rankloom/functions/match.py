@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def cosine(c: str | Column, query: Sequence[float]) -> Column:
     """Cosine of a vector column with a literal vector; null for null, empty and all-zero vectors."""
     v = F.col(c) if isinstance(c, str) else c
     norm = math.sqrt(sum(float(x) ** 2 for x in query))
-    q = F.array(*[F.lit(float(x) / norm if norm else 0.0) for x in query])
+    q = F.expr("array(" + ", ".join(f"{float(x) / norm if norm else 0.0!r}D" for x in query) + ")")  # one call instead of one per element
     return dot(v, q) / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)) if norm else F.lit(None).cast("double")
 
 
@@ -84,3 +85,11 @@ def hashed_vector(text: str, dim: int = 64) -> list[float]:
         out[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] & 1 else -1.0
     norm = math.sqrt(sum(x * x for x in out)) or 1.0
     return [x / norm for x in out]
+
+
+def hashed_column(c: str | Column) -> Column:
+    """``hashed_vector`` of a text column, in Arrow batches; null and wordless texts have no vector."""
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashed_vector(t) if t and words_of(t) else None)
+
+    return F.pandas_udf(run, "array<double>")(F.col(c) if isinstance(c, str) else c)

@@ -58,6 +58,8 @@ def score(candidates: DataFrame, companies: DataFrame, jobs: DataFrame, chips: C
     w = dict(weights or WEIGHTS[chips.intent_mode])
     asked = chips.positive_groups()
     job_side = [g for g in asked if g.source != "USES"]
+    # Bounded: each of at most eight lists names ``DEPTH`` companies.
+    candidates = F.broadcast(candidates)
     per_job = jobs.join(candidates.select("company_id"), "company_id", "left_semi")
     for i, g in enumerate(asked):
         per_job = per_job.withColumn(f"h{i}", hits(g, terms, "technologies", "paraphrase") if g in job_side else F.array().cast("array<string>"))
@@ -75,7 +77,7 @@ def score(candidates: DataFrame, companies: DataFrame, jobs: DataFrame, chips: C
     place = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc_nulls_last("posted_date"), F.asc("job_id")))
     top = shown.withColumn("place", place).where(F.col("place") <= EVIDENCE)
     evidence = top.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("place", "job_id", "title_norm", "posted_date", "paraphrase", "matched_terms", days_since("posted_date", now).alias("days_ago")))).alias("evidence"))
-    out = candidates.join(companies, "company_id").join(facts, "company_id", "left").join(evidence, "company_id", "left")
+    out = companies.join(candidates, "company_id").join(facts, "company_id", "left").join(evidence, "company_id", "left")
     if role_counts is not None:
         counted = out.join(role_counts, "company_id", "left").withColumn("n_roles", F.coalesce("n_roles", F.lit(0)))
         any_role = role_counts.agg((F.count("*") > 0).alias("any_role"))
@@ -90,7 +92,8 @@ def score(candidates: DataFrame, companies: DataFrame, jobs: DataFrame, chips: C
         n = n + f.cast("int")
     covered = n / F.lit(float(len(asked))) if asked else F.lit(1.0)
     days = days_since("latest", now)
-    out = out.withColumn("coverage", covered).withColumn("recency", recency(days)).withColumn("volume", volume(F.coalesce("distinct_roles", F.lit(0))))
+    out = out.withColumn("coverage", covered).withColumn("recency", recency(days)).withColumn("distinct_roles", F.coalesce("distinct_roles", F.lit(0)))
+    out = out.withColumn("volume", volume(F.col("distinct_roles")))
     name = lambda g: " or ".join(a for a in g.any_of if a.strip())
     out = out.withColumn("matched_groups", F.array_compact(F.array(*[F.when(f, name(g)) for f, g in zip(flags, asked)])) if asked else F.array().cast("array<string>"))
     out = out.withColumn("unmatched_groups", F.array_compact(F.array(*[F.when(~f, name(g)) for f, g in zip(flags, asked)])) if asked else F.array().cast("array<string>"))

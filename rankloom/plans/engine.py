@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bucket_bounds, overlap, place_key_of, term_key_of
-from ..functions.match import phrase_match, words
+from ..functions.match import hashed_column, hashed_vector, phrase_match, words
 from ..operators.retrieve import DEPTH, company_ranks, fuse, lexical_list, ranks, semantic_list
 from ..operators.score import Terms, best, score
 from ..sources.tables import load
+from .lineage import cut
 from .chips import Chips, phrases, role_phrases, values
 
 #: Dimensions in the order in which they break ties.
@@ -206,14 +207,15 @@ def allowed(t: Tables, p: Predicate) -> DataFrame | None:
 
 
 def lists(t: Tables, p: Predicate, asked: list[str], query: Sequence[float], *, roles: list[str] | None = None, people: bool = False, intent_source: str | None = None, depth: int = DEPTH) -> dict[str, DataFrame]:
-    """The six lists, eight for people, each restricted before it is scored."""
+    """The six lists, eight for people, each restricted before it is scored; who passes is found once for all of them."""
     passing = allowed(t, p)
+    passing = None if passing is None else cut(passing)
 
     def keep(df: DataFrame) -> DataFrame:
         return df if passing is None else df.join(passing, "company_id", "left_semi")
 
     jobs = keep(t.of("job_signal", "job_id", "company_id", "paraphrase", "embedding", "posted_date", "function", "seniority").where(p.job))
-    intents = t.of("job_intent", "id", "job_id", "intent", "intent_embedding", "source").distinct()
+    intents = t.of("job_intent", "id", "job_id", "intent", "intent_embedding", "source")  # repeated rows fall away where the best row of a posting is taken
     if intent_source is not None:
         intents = intents.where(F.col("source") == intent_source)
     intents = intents.join(jobs.select("job_id", "company_id"), "job_id")
@@ -231,6 +233,10 @@ def lists(t: Tables, p: Predicate, asked: list[str], query: Sequence[float], *,
 
         contacts = keep(census(t.of("lead_contact"), t.of("company_canonical", "canonical_id", "member_ids")))
         out["role_lexical"] = lexical_list(contacts, "company_id", "census_text", roles or [], tie="contact_id", depth=depth)
+        if roles:
+            # Roles have no stored vectors; the hashed vectors of their sentences make a space of their own.
+            placed = contacts.select("company_id", "contact_id", hashed_column("census_text").alias("vec"))
+            out["role_semantic"] = semantic_list(placed, "company_id", "vec", hashed_vector(" ".join(roles)), tie="contact_id", depth=depth)
     return out
 
 
@@ -257,7 +263,7 @@ def ranked(t: Tables, chips: Chips, p: Predicate, vocabulary: Vocabulary, query:
     counts = None
     if people:
         counts = role_counts(t, role_phrases(chips))
-    return score(fused(found), details(t), t.jobs.where(p.job), chips, vocabulary.terms, now, weights=weights, role_counts=counts)
+    return score(cut(fused(found)), details(t), t.jobs.where(p.job), chips, vocabulary.terms, now, weights=weights, role_counts=counts)
 
 
 def role_counts(t: Tables, asked: list[str]) -> DataFrame:

@@ -245,7 +245,7 @@ a AS (SELECT company_id, max(posted_date) FILTER (g2 OR g3) AS latest, count(DIS
 e AS (SELECT company_id, list(job_id ORDER BY k) AS evidence_jobs FROM (SELECT j.company_id, job_id, row_number() OVER (PARTITION BY j.company_id ORDER BY posted_date DESC NULLS LAST, job_id) AS k FROM j JOIN a ON a.company_id = j.company_id WHERE g2 OR g3 OR a.n = 0) WHERE k <= 3 GROUP BY 1),
 x AS (SELECT f.company_id, best_doc, coalesce(roles, 0) AS distinct_roles, evidence_jobs,
   ({_HAS('d.technologies', 'Nimbrel Insight')}::INT + (coalesce(j2, false) OR {_HAS('d.technologies', 'Quorvex Warehouse')} OR {_WORD('d.paraphrase', 'slow reports')})::INT + coalesce(j3, false)::INT) / 3.0::DOUBLE AS coverage,
-  coalesce(exp(-greatest(0, date_sub('day', latest, TIMESTAMP '{NOW}')) / 60.0::DOUBLE), 0) AS recency, ln(1 + coalesce(roles, 0)) / ln(11) AS volume
+  coalesce(exp(-CASE WHEN latest IS NOT NULL THEN greatest(0, date_sub('day', latest, TIMESTAMP '{NOW}')) END / 60.0::DOUBLE), 0) AS recency, ln(1 + coalesce(roles, 0)) / ln(11) AS volume
   FROM f JOIN d USING (company_id) LEFT JOIN a USING (company_id) LEFT JOIN e USING (company_id))
 SELECT *, round(0.45::DOUBLE * coverage + 0.2::DOUBLE * recency + 0.05::DOUBLE * volume + 0.3::DOUBLE * best_doc, 9) AS score FROM x"""
 
@@ -294,7 +294,7 @@ JOIN (SELECT company_id, ['Inkstone'] AS excluded_by FROM ({_NEG_USES} UNION {_N
 FROM (SELECT id, t, regexp_matches(t, '^\\d+(\\.\\d+)?k') AS k, regexp_matches(t, '^\\d+$') AS bare, regexp_matches(t, '^\\d+\\s*-') AS ranged, regexp_matches(t, '^\\d+\\+') AS plus,
   CAST(round(1000 * try_cast(regexp_extract(t, '^(\\d+(?:\\.\\d+)?)k', 1) AS DOUBLE)) AS BIGINT) AS kv FROM (SELECT id, trim(replace(lower(employee_range), ',', '')) AS t FROM lead_company))""",
     "axes": f"""SELECT company_id, days, round(coalesce(exp(-days / 60.0), 0), 6) AS recency, round(ln(1 + n_roles) / ln(11), 6) AS volume, n_roles FROM (
-  SELECT company_id, greatest(0, date_sub('day', max(posted_date), TIMESTAMP '{NOW}')) AS days, count(DISTINCT trim(title_norm)) FILTER (trim(title_norm) <> '') AS n_roles FROM job_signal GROUP BY 1)""",
+  SELECT company_id, CASE WHEN max(posted_date) IS NOT NULL THEN greatest(0, date_sub('day', max(posted_date), TIMESTAMP '{NOW}')) END AS days, count(DISTINCT trim(title_norm)) FILTER (trim(title_norm) <> '') AS n_roles FROM job_signal GROUP BY 1)""",
     "prose_matches": f"SELECT job_id FROM job_signal WHERE {_WORD('paraphrase', 'slow reports')} OR {_WORD('paraphrase', 'port')}",
     "look_alikes": "SELECT company_id FROM company_signal WHERE len(list_filter(technologies, lambda t: t ILIKE '%quorvex ware%')) > 0 AND NOT coalesce(list_contains(technologies, 'Quorvex Warehouse'), false)",
     "best_vector": f"SELECT company_id, greatest({_cos('embedding').replace(', 9)', ', 6)')}, {_cos('embedding').replace(str(ASKING), '1002').replace(', 9)', ', 6)')}) AS similarity, {_cos('embedding').replace(', 9)', ', 6)')} AS first FROM company_signal",
