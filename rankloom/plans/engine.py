@@ -88,9 +88,13 @@ class Tables:
 
     spark: SparkSession
     d: str
+    known: dict[str, DataFrame] = field(default_factory=dict)
 
     def of(self, name: str, *cols: str) -> DataFrame:
-        return load(self.spark, self.d, name, *cols)
+        """The table's columns; a table's files are listed once."""
+        if name not in self.known:
+            self.known[name] = load(self.spark, self.d, name)
+        return self.known[name].select(*cols) if cols else self.known[name]
 
     @property
     def companies(self) -> DataFrame:

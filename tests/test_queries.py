@@ -17,11 +17,11 @@ def test_equals_sql(spark, name):
     assert spark_rows(f(spark, SMALL)) == sql_rows(sql, SMALL)
 
 
-def test_search_is_the_same_twice_and_adds_up(spark, data):
+def test_search_is_the_same_twice_and_adds_up(spark):
     from rankloom.operators.score import WEIGHTS
 
-    rows = [r.asDict(True) for r in engine_queries.search_companies(spark, data).collect()]
-    assert rows == [r.asDict(True) for r in engine_queries.search_companies(spark, data).collect()]
+    rows = [r.asDict(True) for r in engine_queries.search_companies(spark, SMALL).collect()]
+    assert rows == [r.asDict(True) for r in engine_queries.search_companies(spark, SMALL).collect()]
     w = WEIGHTS[engine_queries.CHIPS.intent_mode]
     assert rows and all(math.isclose(r["score"], sum(w[k] * r[k] for k in w), abs_tol=1e-5) for r in rows)
     assert [(-r["score"], r["company_id"]) for r in rows] == sorted((-r["score"], r["company_id"]) for r in rows)
