@@ -3,9 +3,9 @@
 A text's fingerprint is a row of min-wise hashes of its word runs. It is split into blocks of
 ``ROWS`` hashes; texts that are close share at least one whole block, so that an equi-join on blocks
 finds them, the Hamming distance of a bit fingerprint is verified in that join, and the exact share
-of common runs decides at last. Runs that occur in many texts (boilerplate) are left out of the
-fingerprint, never out of the exact share: as each hash of a shared block stems from a shared run, no
-block can then hold more than that part of the texts. Exact copies are one class from the start.
+of common runs decides at last. Every run counts in all three, however many texts it occurs in: what
+the members of a large version group share is as frequent as boilerplate, and nothing but the pair
+itself tells them apart. Exact copies are one class from the start.
 """
 
 from __future__ import annotations
@@ -20,14 +20,10 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Blocks and hashes in each: a pair that shares 0.39 of its rarer runs is found with 0.989, of 0.45 with 0.9996.
+#: Blocks and hashes in each: a pair that shares 0.39 of its runs is found with 0.989, of 0.45 with 0.9996, of 0.5 with 0.999996.
 BLOCKS, ROWS = 192, 4
-#: Bits of the verified fingerprint, and how many may differ (0.39 common: 19.5 expected, deviation 3.7).
-BITS, DISTANCE = 64, 31
-#: Runs in at least this part of the texts are boilerplate; their list is no longer than (runs of a text) / COMMON.
-COMMON = 0.05
-#: A text with fewer rarer runs takes all of its runs.
-LEAST_RARE = 16
+#: Bits of the verified fingerprint, and how many deviations more than expected at the asked share may differ.
+BITS, DEVIATIONS = 256, 4
 _WORD = re.compile(r"[^\W_]+")
 _SEED = 20240229
 
@@ -61,30 +57,19 @@ class _Hasher:
         return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def _counts(run: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = _Hasher(run)
-        for b in batches:
-            if len(b):
-                h, n = np.unique(np.concatenate([hasher(t) for t in b["text"]]), return_counts=True)
-                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
-
-    return count
+def distance(at_least: float) -> int:
+    """Differing bits that a pair of this share has at most: 91 of 256 for a half, where texts without a common run differ in 128."""
+    p = (1 - at_least) / 2
+    return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
 
 
-def fingerprints(hashes: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys (texts x BLOCKS, int64) and bit fingerprints (int64) of texts with at least one run."""
+def fingerprints(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Block keys (texts x BLOCKS, int64) and bit fingerprints (texts x BITS / 64, int64) of texts with at least one run."""
     rng = np.random.default_rng(_SEED)
     n = BLOCKS * ROWS
     mul = (rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
     mix = rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
-    kept = []
-    for h in hashes:
-        if len(common):
-            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-            rare = h[common[at] != h]
-            h = rare if len(rare) >= LEAST_RARE else h
-        kept.append((h >> np.uint64(32)).astype(np.uint32))
+    kept = [(h >> np.uint64(32)).astype(np.uint32) for h in hashes]
     starts = np.concatenate(([0], np.cumsum([len(k) for k in kept])[:-1]))
     flat = np.concatenate(kept)
     low = np.empty((n, len(kept)), np.uint32)
@@ -98,11 +83,11 @@ def fingerprints(hashes: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarr
     for r in range(ROWS):
         key = (key ^ wide[:, r]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    bits = ((low[:BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << np.arange(BITS, dtype=np.uint64)[:, None]
-    return key.T.view(np.int64) if key.T.flags.c_contiguous else np.ascontiguousarray(key.T).view(np.int64), np.bitwise_or.reduce(bits, axis=0).view(np.int64)
+    bits = ((low[:BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))[:, None]
+    return np.ascontiguousarray(key.T).view(np.int64), np.ascontiguousarray(np.bitwise_or.reduce(bits.reshape(BITS // 64, 64, -1), axis=1).T).view(np.int64)
 
 
-def _blocks(run: int, common: np.ndarray):
+def _blocks(run: int):
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher(run)
         for b in batches:
@@ -111,8 +96,8 @@ def _blocks(run: int, common: np.ndarray):
                 hashes = [hasher(t) for t in part["text"]]
                 ok = [i for i, h in enumerate(hashes) if len(h)]
                 if ok:
-                    keys, bits = fingerprints([hashes[i] for i in ok], common)
-                    yield pd.DataFrame({"cls": part["cls"].to_numpy()[ok], "bits": bits, "blocks": list(keys)})
+                    keys, bits = fingerprints([hashes[i] for i in ok])
+                    yield pd.DataFrame({"cls": part["cls"].to_numpy()[ok], **{f"x{k}": bits[:, k] for k in range(BITS // 64)}, "blocks": list(keys)})
 
     return block
 
@@ -152,13 +137,11 @@ def classes(docs: DataFrame, id: str, text: str, longer_than: int) -> DataFrame:
 def similar_classes(kept: DataFrame, *, run: int, at_least: float) -> DataFrame:
     """``(a, b, share)`` of class representatives with a < b whose texts share ``at_least`` of their runs."""
     texts = kept.where("id = cls").select("cls", "text")
-    counted = texts.select("text").mapInPandas(_counts(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    n = texts.count()
-    # Bounded: a text of m runs adds 1/(COMMON n) to at most m of them.
-    common = np.sort(np.array([r.h for r in counted.where(F.col("n") >= max(2.0, COMMON * n)).select("h").collect()] if n >= 2 / COMMON else [], np.int64).view(np.uint64))
-    rows = texts.mapInPandas(_blocks(run, common), "cls bigint, bits bigint, blocks array<bigint>").select("cls", "bits", F.explode("blocks").alias("block"))
-    a, b = rows.select("block", F.col("cls").alias("a"), F.col("bits").alias("x")), rows.select("block", F.col("cls").alias("b"), F.col("bits").alias("y"))
-    near = a.join(b, "block").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= DISTANCE)).select("a", "b").distinct()
+    words = [f"x{k}" for k in range(BITS // 64)]
+    rows = texts.mapInPandas(_blocks(run), "cls bigint, " + ", ".join(f"{w} bigint" for w in words) + ", blocks array<bigint>").select("cls", *words, F.explode("blocks").alias("block"))
+    a, b = rows.select("block", F.col("cls").alias("a"), *words), rows.select("block", F.col("cls").alias("b"), *[F.col(w).alias("y" + w) for w in words])
+    off = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("y" + w))) for w in words), F.lit(0))
+    near = a.join(b, "block").where((F.col("a") < F.col("b")) & (off <= distance(at_least))).select("a", "b").distinct()
     exact = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return exact.select("a", "b", "text_a", "text_b").mapInPandas(_shares(run), "a bigint, b bigint, share double").where(F.col("share") >= at_least)
 

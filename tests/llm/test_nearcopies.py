@@ -79,3 +79,22 @@ def test_postings_against_brute_force(spark, data):
     got = {tuple(r) for r in p3_found(spark, data).collect()}
     want = _brute(rows, 3, 0.5, 200)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_a_version_group_of_a_third_of_the_texts(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(20_000)]
+    one = rng.choices(vocab, k=150)
+    rows = []
+    for i in range(300):
+        w = rng.choices(vocab, k=150)
+        if i % 3 == 0:
+            w = list(one)
+            for at in rng.sample(range(150), 7):
+                w[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    want = _brute(rows, 3, 0.5)
+    got = [tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()]
+    assert len(want) > 3000 and len(got) == len(set(got)) and set(got) == want
+    groups = {r.id: r.group_id for r in version_groups(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()}
+    assert {groups[i] for i in range(0, 300, 3)} == {0} and len(set(groups.values())) == 201
