@@ -98,3 +98,16 @@ def test_a_version_group_of_a_third_of_the_texts(spark):
     assert len(want) > 3000 and len(got) == len(set(got)) and set(got) == want
     groups = {r.id: r.group_id for r in version_groups(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()}
     assert {groups[i] for i in range(0, 300, 3)} == {0} and len(set(groups.values())) == 201
+
+
+def test_pairs_on_either_side_of_few_own_runs(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(20_000)]
+    shared = rng.choices(vocab, k=122)
+    own = rng.choices(vocab, k=16)
+    rows = [(0, " ".join(shared + own[:15])), (1, " ".join(shared + own))]
+    rows += [(i, " ".join(shared + rng.choices(vocab, k=10 + 5 * i))) for i in range(2, 12)]
+    rows += [(i, " ".join(rng.choices(vocab, k=150))) for i in range(12, 72)]
+    want = _brute(rows, 3, 0.5)
+    got = {tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()}
+    assert (0, 1) in want and got == want
