@@ -159,12 +159,12 @@ def ranking_forbidden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    """All weights in steps of a quarter, best first, over axes that are retrieved once."""
+    """All weights in steps of .05, best first, over axes that are retrieved once."""
     t, v, p, q = _parts(spark, d)
     rows = ranked(t, CHIPS, p, v, q, now(), people=False).select(F.lit(1).alias("query_id"), F.col("company_id").alias("item"), "coverage", "recency", "volume", "best_doc")
     labels = details(t).where("industry_canonical LIKE 'Railway%'").select(F.lit(1).alias("query_id"), F.col("company_id").alias("item"))
     prior = WEIGHTS["EITHER"]
-    return tune(rows, labels, weight_grid(25), (prior["coverage"], prior["recency"], prior["volume"], prior["best_doc"]))
+    return tune(rows, labels, weight_grid(), (prior["coverage"], prior["recency"], prior["volume"], prior["best_doc"]))
 
 
 # ---- SQL -------------------------------------------------------------------------------------------

@@ -34,3 +34,14 @@ def test_people_have_roles(spark, data):
 def test_weight_search_prefers_the_best(spark):
     rows = engine_queries.weight_search(spark, SMALL).collect()
     assert [(-r.composite, r.distance, r.grid_id) for r in rows] == sorted((-r.composite, r.distance, r.grid_id) for r in rows)
+
+
+def test_weight_search_takes_every_weight_of_the_grid(spark):
+    from rankloom.operators.evaluate import weight_grid
+    from rankloom.operators.score import WEIGHTS
+
+    grid, w = weight_grid(), WEIGHTS[engine_queries.CHIPS.intent_mode]
+    rows = {r.grid_id: r.distance for r in engine_queries.weight_search(spark, SMALL).collect()}
+    prior = tuple(w[k] for k in ("coverage", "recency", "volume", "best_doc"))
+    at = [i for i, p in enumerate(grid) if all(math.isclose(a, b) for a, b in zip(p, prior))]
+    assert len(grid) == 1751 and set(rows) == set(range(len(grid))) and len(at) == 1 and rows[at[0]] == 0
