@@ -5,15 +5,22 @@ Vocabularies join by key; values are distributed. Nothing is looked up row by ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import term_key
 from ..functions.match import dot
+from ..plans.lineage import cut
 from .retrieve import best_per
 
 #: Cosines above which the nearest term of a technology, or of an industry, is the same thing.
 TECH_NEAR, INDUSTRY_NEAR = 0.85, 0.82
+#: Rows of a block of vectors.
+BLOCK = 2048
 
 
 def keys_of(vocabulary: DataFrame) -> DataFrame:
@@ -53,6 +60,50 @@ def nearest_term(values: DataFrame, term_vectors: DataFrame) -> DataFrame:
     return scored.select("raw", top.alias("t")).select("raw", F.when(F.col("t.similarity") > -2, F.col("t.term")).alias("term"), F.when(F.col("t.similarity") > -2, F.col("t.similarity")).alias("similarity"))
 
 
+def _packed(block: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of unit vectors of one dimension, in the order of their names."""
+        for b in batches:
+            for dim, part in b.groupby(b["vec"].map(len)):
+                part = part.sort_values("name")
+                m = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                norm = np.sqrt((m * m).sum(1))
+                ok = np.isfinite(norm) & (norm > 0)
+                m, names = m[ok] / norm[ok, None], part["name"].to_numpy()[ok]
+                for a in range(0, len(m), block):
+                    yield pd.DataFrame({"names": [names[a : a + block]], "dim": [int(dim)], "vecs": [m[a : a + block].tobytes()]})
+
+    return pack
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each value of a block with the nearest term of another block, of those equal in nine digits the first."""
+    for b in batches:
+        for raws, da, va, terms, db, vb in zip(b["raws"], b["da"], b["va"], b["terms"], b["db"], b["vb"]):
+            if da != db:
+                continue
+            cos = np.frombuffer(va).reshape(-1, da) @ np.frombuffer(vb).reshape(-1, db).T
+            top = cos.max(1)
+            i, j = np.nonzero(cos >= (top - 2e-9)[:, None])
+            same = np.round(cos[i, j], 9) == np.round(top, 9)[i]
+            i, at = np.unique(i[same], return_index=True)
+            yield pd.DataFrame({"raw": np.asarray(raws)[i], "term": np.asarray(terms, object)[j[same][at]], "similarity": np.round(top, 9)[i]})
+
+
+def nearest_of_many(values: DataFrame, term_vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``nearest_term`` for terms that are a table of their own: exact, block against block, nothing is broadcast as a list.
+
+    Null, empty, all-zero and non-finite vectors have no direction; such values, and those that no term's
+    vector has the dimension of, are left out.
+    """
+    kind = values.schema["raw"].dataType.simpleString()
+    pack = lambda df, name, t: cut(df.select(F.col(name).alias("name"), "vec").where("name IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL)").mapInPandas(_packed(block), f"names array<{t}>, dim int, vecs binary"))
+    left = pack(values, "raw", kind).select(F.col("names").alias("raws"), F.col("dim").alias("da"), F.col("vecs").alias("va"))
+    right = pack(term_vectors, "term", "string").select(F.col("names").alias("terms"), F.col("dim").alias("db"), F.col("vecs").alias("vb"))
+    each = left.crossJoin(right).mapInPandas(_nearest, f"raw {kind}, term string, similarity double")
+    return best_per(each, "raw", F.desc("similarity"), F.asc("term"))
+
+
 def canonical_arrays(rows: DataFrame, id: str, column: str, vocabulary: DataFrame) -> DataFrame:  # noqa: A002
     """Each row's array as canonical terms: in order, each once, without unresolved ones."""
     each = rows.select(F.col(id).alias("id"), F.posexplode(column).alias("at", "raw")).withColumn("key", term_key("raw"))

@@ -252,6 +252,14 @@ def nearest_terms(spark, d):
     return vo.nearest_term(values, terms).select("raw", "term", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def nearest_companies(spark, d):
+    """The nearest of all company vectors for every posting."""
+    terms = load(spark, d, "company_signal", F.col("company_id").cast("string").alias("term"), F.col("embedding").alias("vec"))
+    values = load(spark, d, "job_signal", F.col("job_id").alias("raw"), F.col("embedding").alias("vec"))
+    return vo.nearest_of_many(values, terms).select("raw", "term", F.round("similarity", 6).alias("similarity"))
+
+
 # ---- roles -----------------------------------------------------------------------------------------
 
 

@@ -91,3 +91,23 @@ def test_measures_of_refusals(spark):
 def test_personal_columns(spark):
     df = spark.createDataFrame([], "id int, first_name string, email string, employer_name string, name string, title string")
     assert personal_columns(df) == ["first_name", "email", "name"]
+
+
+def test_nearest_company_is_the_nearest_of_all(spark, data):
+    import numpy as np
+
+    from rankloom.operators import vocabulary as vo
+    from rankloom.plans.table_queries import nearest_companies
+    from rankloom.sources.tables import load
+
+    read = lambda t, k: [(r[0], np.array(r[1], float)) for r in load(spark, data, t, k, "embedding").collect() if r[1] and any(r[1])]
+    firms, jobs = sorted((str(k), v) for k, v in read("company_signal", "company_id")), read("job_signal", "job_id")
+    unit = lambda rows: np.stack([v / np.sqrt(v @ v) for _, v in rows])
+    cos = np.round(unit(jobs) @ unit(firms).T, 9)
+    want = sorted((j, firms[a][0], round(float(c), 6)) for (j, _), a, c in zip(jobs, cos.argmax(1), cos.max(1)))
+    got = sorted((r.raw, r.term, r.similarity) for r in nearest_companies(spark, data).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+    assert len({t for _, t, _ in got}) > 40
+    vecs = lambda t, k, name: load(spark, data, t, k, "embedding").toDF(name, "vec")
+    small = vo.nearest_of_many(vecs("job_signal", "job_id", "raw"), vecs("company_signal", "company_id", "term").selectExpr("string(term) term", "vec"), block=50)
+    assert sorted((r.raw, r.term) for r in small.collect()) == [w[:2] for w in want]
