@@ -91,15 +91,6 @@ class Vocabulary:
             self.machine.add_word(f" {key} ", (key, i))
         if len(self.machine):
             self.machine.make_automaton()
-        self.pairs: dict[str, set[int]] = {}
-        for i, key in self.terms.items():
-            for g in self._grams(key):
-                self.pairs.setdefault(g, set()).add(i)
-
-    @staticmethod
-    def _grams(key: str) -> set[str]:
-        s = key.replace(" ", "")
-        return {s[k : k + 2] for k in range(len(s) - 1)}
 
     def mention(self, key: str) -> int:
         """The entry of the longest embedded mention; of equally long ones the first."""
@@ -122,24 +113,16 @@ class Vocabulary:
 
     def similar(self, key: str) -> int:
         """The entry that the value's words or letters spell best, 0 if none does clearly."""
-        grams = self._grams(key)
-        near: dict[int, int] = {}
-        for g in grams:
-            for i in self.pairs.get(g, ()):
-                near[i] = near.get(i, 0) + 1
         words = [w for w in key.split() if w not in ("and",)]
-        short = any(len(w) <= 5 for w in words)
+        own = sum(w not in DECORATION and not re.fullmatch(r"v?\d+", w) for w in words)
         scores: list[tuple[float, int]] = []
         for i, name in self.terms.items():
-            shared = near.get(i, 0)
             size = len(name.replace(" ", ""))
-            if not short and shared * 4 < size:  # nothing that passes LEAST shares so few letters
-                continue
             solid, flat = key.replace(" ", ""), name.replace(" ", "")
             most = max(1, round(0.26 * size))
             n = edits(solid, flat, most)
             score = 1 - n / max(size, len(solid)) if n <= most else 0.0
-            scores.append((max(score, self._token_set(words, [w for w in name.split() if w != "and"])), i))
+            scores.append((max(score, self._token_set(words, [w for w in name.split() if w != "and"], own)), i))
         scores.sort(key=lambda s: (-s[0], s[1]))
         if not scores or scores[0][0] < LEAST:
             return 0
@@ -148,9 +131,9 @@ class Vocabulary:
         return scores[0][1]
 
     @staticmethod
-    def _token_set(words: list[str], name: list[str]) -> float:
+    def _token_set(words: list[str], name: list[str], own: int) -> float:
         """Mean likeness of the name's words, each to a word of its own; words left over must be decoration."""
-        if not words or len(words) < len(name):
+        if not words or len(words) < len(name) or own > len(name):  # each name word takes one, and one would be left over
             return 0.0
         free, total, letters = list(words), 0.0, 0
         for w in sorted(name, key=len, reverse=True):
@@ -167,9 +150,6 @@ class Vocabulary:
 
     def find(self, value: str) -> int:
         """The entry that ``value`` names, 0 if none."""
-        if len(value) > 5000:
-            key = fold(value)
-            return self.mention(key)
         key = fold(value)
         if not key:
             return 0
@@ -192,7 +172,7 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     ``terms`` (``term_id``, ``kind``, ``term``, ``aliases``) is a reference list that fits into every task.
     Defined cases: null values and kinds are left out; a value of a kind without entries, one without
     letters and digits, and one that two entries fit about equally are 0; null terms and aliases are
-    ignored; of equal spellings the smallest id counts; very long values are searched for mentions only.
+    ignored; of equal spellings the smallest id counts.
     """
     lists: dict[str, list] = {}
     for r in terms.select("term_id", "kind", "term", "aliases").where("term IS NOT NULL AND kind IS NOT NULL").collect():

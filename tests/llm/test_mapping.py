@@ -51,3 +51,9 @@ def test_held_out_accuracy(spark, data):
         w = t.split()
         for changed in (t.upper(), "".join(w), t + " sector", ", ".join([" ".join(w[1:]), w[0]]), t[:3] + t[4:], t[:2] + "x" + t[2:]):
             assert v.find(changed) == i, changed
+
+
+def test_abbreviations_that_share_few_letters_and_long_values():
+    v = Vocabulary([(1, "Telecommunications", []), (2, "Warehousing", []), (3, "Velmontane", [])])
+    assert v.find("tlcmns") == 1 and v.find("tlcmns services") == 1 and v.find("qlcmns") == 0
+    assert v.find("Veulmontaine" + " hosted" * 1000) == 3 and v.find("Veulmontaine" + " hosted" * 1000 + " elsewhere") == 0
