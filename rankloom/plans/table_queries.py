@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import contains_all, overlap, place_key, term_key, title_norm
+from ..functions.keys import bucket_bounds, contains_all, overlap, place_key, term_key, title_norm
 from ..operators import fold as fo
 from ..operators import ingest as ing
 from ..operators import quality as q
@@ -111,6 +111,15 @@ def template_sentences(spark, d):
     return load(spark, d, "lead_company", "id", "industry", "hq_city", "hq_state", "hq_country", "technologies").select("id", said.alias("paraphrase"))
 
 
+@query()
+def sized_sentences(spark, d):
+    """``template_sentences`` with the word for the company's size; the range speaks where the count states none."""
+    c = F.col
+    (low, high), (least, most) = bucket_bounds("employee_count"), bucket_bounds("employee_range")
+    said = ing.template_paraphrase(c("industry"), F.coalesce(low, least), F.when(low.isNull(), most).otherwise(high), c("hq_city"), c("hq_state"), c("hq_country"), c("technologies"))
+    return load(spark, d, "lead_company", "id", "industry", "hq_city", "hq_state", "hq_country", "technologies", "employee_count", "employee_range").select("id", said.alias("paraphrase"))
+
+
 _NEW = "SELECT id + 100000 * (id % 2) AS id, lower(title) AS title, department FROM lead_contact WHERE id % 3 = 0"
 
 

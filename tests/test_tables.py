@@ -111,3 +111,14 @@ def test_nearest_company_is_the_nearest_of_all(spark, data):
     vecs = lambda t, k, name: load(spark, data, t, k, "embedding").toDF(name, "vec")
     small = vo.nearest_of_many(vecs("job_signal", "job_id", "raw"), vecs("company_signal", "company_id", "term").selectExpr("string(term) term", "vec"), block=50)
     assert sorted((r.raw, r.term) for r in small.collect()) == [w[:2] for w in want]
+
+
+def test_sentences_name_the_size(spark, tmp_path):
+    from rankloom.plans.table_queries import sized_sentences
+
+    sizes = [("51-200", "x"), ("?", "501-1,000 employees"), (None, "1001-5000"), ("10,001+", "1-10"), (None, None), ("700", "1-10")]
+    rows = [(i, "Rail", None, None, None, ["Inkstone"], a, b) for i, (a, b) in enumerate(sizes)]
+    spark.createDataFrame(rows, "id long, industry string, hq_city string, hq_state string, hq_country string, technologies array<string>, employee_count string, employee_range string").write.parquet(str(tmp_path / "lead_company.parquet"))
+    got = {r.id: r.paraphrase for r in sized_sentences(spark, str(tmp_path)).collect()}
+    words = ["Small ", "Mid-size ", "Large ", "Enterprise ", "", "Mid-size "]
+    assert got == {i: f"{w}Rail company running Inkstone." for i, w in enumerate(words)}
