@@ -1,167 +1,410 @@
 """Near-duplicate texts by pigeonhole blocks of fingerprints.
 
-A text's fingerprint is a row of min-wise hashes of its word runs. It is split into blocks of
-``ROWS`` hashes; texts that are close share at least one whole block, so that an equi-join on blocks
-finds them, the Hamming distance of a bit fingerprint is verified in that join, and the exact share
-of common runs decides at last. Every run counts in all three, however many texts it occurs in: what
-the members of a large version group share is as frequent as boilerplate, and nothing but the pair
+A text's fingerprint is a row of min-wise hashes of its word runs. It is split into blocks of a few
+hashes; texts that are close share at least one whole block, so that texts meet where their blocks
+are equal, the Hamming distance of a bit fingerprint is verified there, and the exact share of common
+runs decides at last. Every run counts in all three, however many texts it occurs in: what the
+members of a large version group share is as frequent as boilerplate, and nothing but the pair
 itself tells them apart. Exact copies are one class from the start.
+
+How many hashes make a block follows from the number of texts and from how much unrelated ones have
+in common: longer blocks let fewer of these meet, and their number grows so that a pair at the asked
+share is missed with the same small probability ``MISS`` at any size.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Blocks and hashes in each: a pair that shares 0.39 of its runs is found with 0.989, of 0.45 with 0.9996, of 0.5 with 0.999996.
-BLOCKS, ROWS = 192, 4
+#: Probability that a pair of exactly the asked share has no block in common.
+MISS = 1e-4
 #: Bits of the verified fingerprint, and how many deviations more than expected at the asked share may differ.
-BITS, DEVIATIONS = 256, 4
-_WORD = re.compile(r"[^\W_]+")
-_SEED = 20240229
+BITS, DEVIATIONS = 512, 4
+#: Rounds in which all runs are dealt to the hashes; what stays empty after them is hashed by itself.
+ROUNDS = 12
+#: Texts whose fingerprints tell how much unrelated texts have in common (a hashed sample).
+SAMPLE = 512
+#: Costs of a block and of a meeting that the plan of the blocks weighs, in microseconds.
+BLOCK_COST, PAIR_COST = 3.0, 0.06
+#: Members of one block that are compared in one task; larger blocks are split into tiles.
+TILE = 2048
+_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_WORDS = [f"x{k}" for k in range(BITS // 64)]
+
+
+def _mixed(h: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    y = (h ^ np.uint64(seed) if np.isscalar(seed) else h ^ seed) * _MIX
+    y ^= y >> np.uint64(31)
+    y *= _GOLD
+    return y ^ (y >> np.uint64(29))
+
+
+@cache
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point a random number, and whether it is a letter or digit; made once in each worker."""
+    return _mixed(np.arange(0x110000, dtype=np.uint64), 0), np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 
 
 class _Hasher:
-    """Hashes of word runs; words are hashed once each."""
+    """Hashes of word runs, straight from the code points of many texts at a time."""
 
     def __init__(self, run: int) -> None:
-        self.run, self.words = run, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Different hashes of the runs of one text, sorted."""
-        import xxhash
-
-        cache = self.words
-        if len(cache) > 1_000_000:
-            cache.clear()
-        found = _WORD.findall(text.lower())
-        if len(found) < self.run:
-            return np.empty(0, np.uint64)
-        for w in set(found):
-            if w not in cache:
-                cache[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-        n = len(h) - self.run + 1
-        out = np.zeros(n, np.uint64)
+        self.run = run
+        self.value, self.in_word = _points()
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        """Powers of an odd number and of its inverse modulo 2^64."""
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            base = int(_GOLD)
+            for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
+                p = np.full(size, x, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.cumprod(p))
+
+    def word_hashes(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts one after the other, and how many each text has."""
+        low = [t.lower() for t in texts]
+        cp = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._powers(len(cp) + 1)
+        # A word's hash is a polynomial in its code points, from the difference of two prefix sums.
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(self.value[cp] * self.up[: len(cp)])))
+        edge = np.diff(self.in_word[cp].astype(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last code point is a line end
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        return (h ^ (h >> np.uint64(32))) * _MIX, np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in low]])))
+
+    def many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of all texts one after the other, repeated ones too, and how many each text has."""
+        h, n = self.word_hashes(texts)
+        counts = np.maximum(0, n - self.run + 1)
+        # Each run's first word; runs never reach into the next text.
+        at = np.repeat(np.cumsum(n) - n - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        out = np.zeros(len(at), np.uint64)
         for k in range(self.run):
-            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (h[k : k + n] + np.uint64(k))
+            out = (out * _GOLD) ^ (h[at + k] + np.uint64(k))
             out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(out ^ (out >> np.uint64(32)))
+        out *= _MIX
+        return out ^ (out >> np.uint64(32)), counts
+
+    def digests(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each text's words in their order, and the number of words."""
+        h, n = self.word_hashes(texts)
+        ends = np.cumsum(n)
+        place = np.arange(len(h)) - np.repeat(ends - n, n)
+        out = []
+        for seed in (1, 2):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(h ^ _seed(place), _seed(seed)))))
+            out.append((sums[ends] - sums[ends - n]).view(np.int64))
+        return out[0], out[1], n
 
 
 def distance(at_least: float) -> int:
-    """Differing bits that a pair of this share has at most: 91 of 256 for a half, where texts without a common run differ in 128."""
+    """Differing bits that a pair of this share has at most: 167 of 512 for a half, where texts without a common run differ in 256."""
     p = (1 - at_least) / 2
     return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
 
 
-def fingerprints(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys (texts x BLOCKS, int64) and bit fingerprints (texts x BITS / 64, int64) of texts with at least one run."""
-    rng = np.random.default_rng(_SEED)
-    n = BLOCKS * ROWS
-    mul = (rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
-    mix = rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
-    kept = [(h >> np.uint64(32)).astype(np.uint32) for h in hashes]
-    starts = np.concatenate(([0], np.cumsum([len(k) for k in kept])[:-1]))
-    flat = np.concatenate(kept)
-    low = np.empty((n, len(kept)), np.uint32)
-    for k in range(n):
-        y = (flat ^ mix[k]) * mul[k]
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x2C1B3C6D)
-        low[k] = np.minimum.reduceat(y, starts)
-    wide = low.astype(np.uint64).reshape(BLOCKS, ROWS, -1)
-    key = np.arange(1, BLOCKS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    for r in range(ROWS):
-        key = (key ^ wide[:, r]) * np.uint64(0xD6E8FEB86659FD93)
+def _seed(k: int | np.ndarray):
+    """Seeds by number; any two differ in about half of their bits."""
+    if isinstance(k, np.ndarray):
+        y = (k.astype(np.uint64) + np.uint64(1)) * _GOLD
+        y ^= y >> np.uint64(32)
+        return y * _MIX
+    return int(_seed(np.array([k]))[0])
+
+
+def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """``size`` min-wise hashes (texts x size) of texts with at least one run each.
+
+    In each round every run is dealt to one of the hashes at random; a hash keeps the smallest of the
+    first round that reaches it, so that a text takes a few passes over its runs instead of ``size``. A
+    hash that no round has reached takes the smallest of all runs by itself. Two texts agree in a hash
+    with the probability that is their share of common runs, as with ``size`` passes.
+    """
+    n = len(counts)
+    text = np.repeat(np.arange(n, dtype=np.int64) * size, counts)
+    low = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
+    half = np.uint64(32)
+    for r in range(ROUNDS):
+        y = _mixed(runs, _seed(r))
+        place = ((y >> half) * np.uint64(size)) >> half
+        np.minimum.at(low, text + place.astype(np.int64), (y & np.uint64(0xFFFFFFFF)) | np.uint64(r << 32))
+    left = np.flatnonzero(low == np.iinfo(np.uint64).max)
+    starts = np.cumsum(counts) - counts
+    step = max(1, 4_000_000 // max(1, int(counts.max())))
+    for a in range(0, len(left), step):
+        part = left[a : a + step]
+        owner, place = part // size, part % size
+        many = counts[owner]
+        ends = np.cumsum(many)
+        at = np.repeat(starts[owner] - (ends - many), many) + np.arange(ends[-1])
+        y = _mixed(runs[at], np.repeat(_seed(place + 1000), many))
+        low[part] = (np.minimum.reduceat(y, ends - many) >> half) | np.uint64(ROUNDS << 32)
+    return low.reshape(n, size)
+
+
+def bits_of(low: np.ndarray) -> np.ndarray:
+    """Bit fingerprints (texts x BITS / 64, int64), one bit of each of the first hashes."""
+    bit = ((low[:, :BITS] * _GOLD) >> np.uint64(63)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))
+    return np.ascontiguousarray(np.bitwise_or.reduce(bit.reshape(len(low), BITS // 64, 64), axis=2)).view(np.int64)
+
+
+def blocks_of(low: np.ndarray, blocks: int, rows: int) -> np.ndarray:
+    """Block keys (texts x blocks, int64) of ``rows`` hashes each."""
+    wide = low[:, : blocks * rows].reshape(len(low), blocks, rows)
+    key = np.arange(1, blocks + 1, dtype=np.uint64)[None, :] * _GOLD
+    for r in range(rows):
+        key = (key ^ wide[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    bits = ((low[:BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))[:, None]
-    return np.ascontiguousarray(key.T).view(np.int64), np.ascontiguousarray(np.bitwise_or.reduce(bits.reshape(BITS // 64, 64, -1), axis=1).T).view(np.int64)
+    return key.view(np.int64)
+
+
+def n_blocks(at_least: float, rows: int) -> int:
+    """Blocks of ``rows`` hashes of which a pair of this share has none in common with probability MISS."""
+    p = at_least**rows
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-p))) if p < 1 else 1
+
+
+def plan_blocks(n: int, shares: np.ndarray, at_least: float, most_rows: int = 12) -> tuple[int, int]:
+    """(blocks, rows) of least cost for ``n`` texts, of which any two have the sampled ``shares`` of runs in common."""
+    cost = {}
+    for rows in range(2, most_rows + 1):
+        b = n_blocks(at_least, rows)
+        meet = float((shares**rows).mean()) if len(shares) else 0.0
+        cost[rows] = b * (n * BLOCK_COST + n * (n - 1) / 2 * meet * PAIR_COST)
+    rows = min(cost, key=lambda r: (cost[r], r))
+    return n_blocks(at_least, rows), rows
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(ids, texts) of a batch, a bounded number of texts and characters at a time; only a longer text exceeds it, alone."""
+    ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+    a = 0
+    while a < len(texts):
+        e, chars = a, 0
+        while e < len(texts) and e - a < 256 and (e == a or chars < 1_000_000):
+            chars += len(texts[e])
+            e += 1
+        yield ids[a:e], texts[a:e]
+        a = e
 
 
-def _blocks(run: int):
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(b: pa.RecordBatch, hasher: _Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, runs, counts) of the texts that have a run, some of them at a time."""
+    for ids, texts in _pieces(b):
+        runs, counts = hasher.many(texts)
+        ok = counts > 0
+        if ok.any():
+            yield ids[ok], runs, counts[ok]
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = _Hasher(1)
+    for b in batches:
+        for ids, texts in _pieces(b):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *hasher.digests(texts))], ["id", "k1", "k2", "n_words"])
+
+
+def _sampled(run: int):
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(run)
         for b in batches:
-            for a in range(0, len(b), 256):
-                part = b.iloc[a : a + 256]
-                hashes = [hasher(t) for t in part["text"]]
-                ok = [i for i, h in enumerate(hashes) if len(h)]
-                if ok:
-                    keys, bits = fingerprints([hashes[i] for i in ok])
-                    yield pd.DataFrame({"cls": part["cls"].to_numpy()[ok], **{f"x{k}": bits[:, k] for k in range(BITS // 64)}, "blocks": list(keys)})
+            for _, runs, counts in _chunks(b, hasher):
+                yield pa.RecordBatch.from_arrays([pa.array([low.tobytes() for low in min_hashes(runs, counts, BITS)], pa.binary())], ["low"])
 
-    return block
+    return sample
+
+
+def _marked(run: int, blocks: int, rows: int, home: np.ndarray):
+    """One row of each text and partition that any of its blocks belongs to: the blocks travel together."""
+    size, parts = max(BITS, blocks * rows), len(home)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher(run)
+        for b in batches:
+            for ids, runs, counts in _chunks(b, hasher):
+                low = min_hashes(runs, counts, size)
+                keys, bits = blocks_of(low, blocks, rows), bits_of(low)
+                part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, axis=1, kind="stable")
+                keys, part = np.take_along_axis(keys, order, 1).ravel(), np.take_along_axis(part, order, 1)
+                first = np.ones(part.shape, bool)
+                first[:, 1:] = part[:, 1:] != part[:, :-1]
+                at = np.flatnonzero(first.ravel())
+                text = at // part.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)).astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(home[part.ravel()[at]]), pa.array(ids[text]), *[pa.array(bits[text, k]) for k in range(bits.shape[1])], lists], ["home", "cls", *_WORDS, "blocks"])
+
+    return mark
+
+
+def _meet(limit: int, tile: int):
+    """Pairs of a block within ``limit`` bits from rows sorted by block; the rows of larger blocks come out as they are, for tiles.
+
+    No more than one batch and ``tile`` rows of a block are held at any time.
+    """
+    names = ["a", "b", "block", *_WORDS]
+
+    def out(a, b, block, bits) -> pa.RecordBatch:
+        n = len(a)
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if block is None else pa.array(block), *[none if bits is None else pa.array(bits[:, k]) for k in range(len(_WORDS))]], names)
+
+    def pairs(key: np.ndarray, cls: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        found, i, d = [], np.arange(len(key)), 1
+        while True:
+            i = i[i + d < len(key)]
+            i = i[key[i] == key[i + d]]
+            if not len(i):
+                break
+            off = np.bitwise_count((bits[i] ^ bits[i + d]).view(np.uint64)).sum(1, dtype=np.int64)
+            near = i[(off <= limit) & (cls[i] != cls[i + d])]
+            if len(near):
+                found.append(np.stack([np.minimum(cls[near], cls[near + d]), np.maximum(cls[near], cls[near + d])], 1))
+            d += 1
+        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return out(both[:, 0], both[:, 1], None, None)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cls, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(_WORDS)), np.int64)
+        hot = None
+        for b in batches:
+            key = np.concatenate([key, b.column("block").to_numpy()])
+            cls = np.concatenate([cls, b.column("cls").to_numpy()])
+            bits = np.concatenate([bits, np.stack([b.column(w).to_numpy() for w in _WORDS], 1)])
+            if not len(key):
+                continue
+            new = np.flatnonzero(key[1:] != key[:-1]) + 1
+            ends = np.append(new, len(key))
+            starts = np.append(0, new)
+            large = (ends - starts > tile) | (key[starts] == hot if hot is not None else False)
+            tail = starts[-1]  # the last block may go on in the next batch
+            hot = key[tail] if large[-1] else None
+            wide = np.repeat(large, ends - starts)
+            if wide.any():
+                yield out(cls[wide], None, key[wide], bits[wide])
+            done = ~wide
+            done[tail:] = False
+            yield pairs(key[done], cls[done], bits[done])
+            rest = np.zeros(len(key), bool)
+            rest[tail:] = ~wide[tail:]
+            key, cls, bits = key[rest], cls[rest], bits[rest]
+        yield pairs(key, cls, bits)
+
+    return meet
 
 
 def _shares(run: int):
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher(run)
-        for b in batches:
-            out = np.empty(len(b))
-            last, left = None, None
-            for i, (ta, tb) in enumerate(zip(b["text_a"], b["text_b"])):
-                if ta is not last and ta != last:
-                    last, left = ta, hasher(ta)
-                right = hasher(tb)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                out[i] = both / (len(left) + len(right) - both)
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "share": out})
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.iloc[at : at + 256]
+                texts = dict(zip(b["a"], b["text_a"])) | dict(zip(b["b"], b["text_b"]))
+                runs, counts = hasher.many(list(texts.values()))
+                own = dict(zip(texts, map(np.unique, np.split(runs, np.cumsum(counts)[:-1]))))
+                both = np.array([len(np.intersect1d(own[x], own[y], assume_unique=True)) for x, y in zip(b["a"], b["b"])], np.int64)
+                every = np.array([len(own[x]) + len(own[y]) for x, y in zip(b["a"], b["b"])], np.int64)
+                yield pd.DataFrame({"a": b["a"], "b": b["b"], "share": both / np.maximum(1, every - both)})
 
     return share
 
 
-def classes(docs: DataFrame, id: str, text: str, longer_than: int) -> DataFrame:  # noqa: A002
-    """``(id, cls, text)``: texts with the same words in the same order are one class, named by its smallest id.
+def texts_of(docs: DataFrame, id: str, text: str, longer_than: int) -> DataFrame:  # noqa: A002
+    """``(id, text)``: of rows that repeat an id the greatest text."""
+    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND length(text) > " + str(int(longer_than)))
+    return rows.groupBy("id").agg(F.max("text").alias("text"))
 
-    Only the representative, whose id is ``cls``, keeps its text; all other columns of ``docs`` are left.
+
+def classes(texts: DataFrame) -> DataFrame:
+    """``(id, cls, n_words)``: texts with the same words in the same order are one class, named by its smallest id.
+
+    Only digests meet, never texts; the smallest id of each is a partial aggregate, so that a copy group may hold any share of the rows.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND length(text) > " + str(int(longer_than)))
-    said = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")
-    keyed = rows.select("id", F.sha2(F.trim(said), 256).alias("k"), "text")
-    first = keyed.groupBy("k").agg(F.min("id").alias("cls"))
-    # The texts cross one exchange only, on a key of which no copy group can make a hot partition: the id.
-    member = keyed.select("id", "k").join(first, "k").select("id", "cls").distinct()
-    one = rows.groupBy("id").agg(F.max("text").alias("text"))
-    return member.groupBy("id").agg(F.min("cls").alias("cls")).join(one, "id").select("id", "cls", F.when(F.col("id") == F.col("cls"), F.col("text")).alias("text"))
+    keyed = cut(texts.select("id", "text").mapInArrow(_digested, "id bigint, k1 bigint, k2 bigint, n_words bigint"))
+    first = keyed.groupBy("k1", "k2").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
+    # Only digests that several texts have go into the join; all other texts are their own class.
+    shared = keyed.hint("merge").join(first.where("n > 1").drop("n").hint("merge"), ["k1", "k2"]).select("id", "cls")
+    return keyed.select("id", "n_words").join(shared.hint("merge"), "id", "left").select("id", F.coalesce("cls", "id").alias("cls"), "n_words")
 
 
-def similar_classes(kept: DataFrame, *, run: int, at_least: float) -> DataFrame:
-    """``(a, b, share)`` of class representatives with a < b whose texts share ``at_least`` of their runs."""
-    texts = kept.where("id = cls").select("cls", "text")
-    words = [f"x{k}" for k in range(BITS // 64)]
-    rows = texts.mapInPandas(_blocks(run), "cls bigint, " + ", ".join(f"{w} bigint" for w in words) + ", blocks array<bigint>").select("cls", *words, F.explode("blocks").alias("block"))
-    a, b = rows.select("block", F.col("cls").alias("a"), *words), rows.select("block", F.col("cls").alias("b"), *[F.col(w).alias("y" + w) for w in words])
-    off = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("y" + w))) for w in words), F.lit(0))
-    near = a.join(b, "block").where((F.col("a") < F.col("b")) & (off <= distance(at_least))).select("a", "b").distinct()
-    exact = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    return exact.select("a", "b", "text_a", "text_b").mapInPandas(_shares(run), "a bigint, b bigint, share double").where(F.col("share") >= at_least)
+def _homes(spark, parts: int) -> np.ndarray:
+    """A label for each partition that Spark's hash sends to it, so that no two labels meet in one."""
+    got = spark.range(40 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).orderBy("p").collect()
+    return np.array([r.id for r in got], np.int64)
 
 
-def similar_pairs(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least: float = 0.8, longer_than: int = 0) -> DataFrame:  # noqa: A002
+def similar_classes(kept: DataFrame, texts: DataFrame, *, run: int, at_least: float, tile: int = TILE) -> DataFrame:
+    """``(a, b, share)`` of class representatives with a < b whose texts share ``at_least`` of their runs."""
+    spark = kept.sparkSession
+    n = kept.where("id = cls").count()
+    own = texts.hint("merge").join(kept.where("id = cls").select("id").hint("merge"), "id").select(F.col("id").alias("cls"), "text")
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select(F.col("id").alias("cls"), "text").limit(2 * SAMPLE)
+    seen = some.mapInArrow(_sampled(run), "low binary").collect()  # 4 KB of each sampled text
+    low = np.array([np.frombuffer(r.low, np.uint64) for r in seen]) if seen else np.empty((0, BITS), np.uint64)
+    shares = np.concatenate([(low[i + 1 :] == low[i]).mean(1) for i in range(len(low) - 1)]) if len(low) > 1 else np.empty(0)
+    blocks, rows = plan_blocks(n, shares, at_least)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * blocks // 4_000_000)
+    home = _homes(spark, parts)
+    longs = ", ".join(f"{w} bigint" for w in _WORDS)
+    marked = own.mapInArrow(_marked(run, blocks, rows, home), f"home bigint, cls bigint, {longs}, blocks array<bigint>")
+    listed = marked.repartition(parts, "home").select(F.explode("blocks").alias("block"), "cls", *_WORDS).sortWithinPartitions("block")
+    limit = distance(at_least)
+    met = cut(listed.mapInArrow(_meet(limit, tile), f"a bigint, b bigint, block bigint, {longs}"))
+    near = met.where("b IS NOT NULL").select("a", "b")
+    large = met.where("b IS NULL").select("block", F.col("a").alias("cls"), *_WORDS)
+    if not large.isEmpty():
+        near = near.unionByName(_tiled(large, limit, tile))
+    pairs = near.distinct()
+    said = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    both = pairs.hint("merge").join(said("a"), "a").hint("merge").join(said("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_shares(run), "a bigint, b bigint, share double").where(F.col("share") >= at_least)
+
+
+def _tiled(large: DataFrame, limit: int, tile: int) -> DataFrame:
+    """``(a, b)`` of blocks with many members: a block is cut into shares, and any two shares meet in a task of their own."""
+    sizes = large.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"))
+    cutup = large.join(sizes.hint("merge"), "block").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    left = cutup.withColumn("other", every).select("block", F.col("own").alias("i"), F.col("other").alias("j"), F.col("cls").alias("a"), *_WORDS)
+    right = cutup.withColumn("other", every).select("block", F.col("other").alias("i"), F.col("own").alias("j"), F.col("cls").alias("b"), *[F.col(w).alias("y" + w) for w in _WORDS])
+    off = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("y" + w))) for w in _WORDS), F.lit(0))
+    return left.hint("merge").join(right, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & (off <= limit)).select("a", "b")
+
+
+def similar_pairs(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least: float = 0.8, longer_than: int = 0, tile: int = TILE) -> DataFrame:  # noqa: A002
     """``(id_a, id_b)`` with id_a < id_b of all texts that share ``at_least`` of the runs of ``run`` words in either.
 
     Words are runs of letters and digits, case ignored; whole texts count. Defined cases: null ids and
     null texts are no texts; of rows with one id one text counts (the greatest); texts without a run
     (fewer words than ``run``) have nothing to share and are in no pair; copies are paired with
-    each other; an empty table gives no rows.
+    each other; an empty table gives no rows. ``tile`` bounds the members of a block, or copies of a
+    text, that meet in one task; it changes no result.
     """
-    kept = cut(classes(docs, id, text, longer_than))
-    pairs = similar_classes(kept, run=run, at_least=at_least)
-    # A class with no run has no pair, not even among its copies.
-    has_run = kept.where("id = cls").select("cls", F.size(F.expr(r"regexp_extract_all(text, '[\\p{L}\\p{N}]+', 0)")).alias("n")).where(F.col("n") >= run).select("cls")
-    copied = kept.select("id", "cls").join(kept.where("id <> cls").select("cls").distinct(), "cls").join(has_run, "cls", "left_semi")
-    own = copied.select("cls", F.col("id").alias("id_a")).join(copied.select("cls", F.col("id").alias("id_b")), "cls").where("id_a < id_b").select("id_a", "id_b")
-    left = pairs.join(kept.select(F.col("cls").alias("a"), F.col("id").alias("p")), "a").select("b", "p")
-    across = left.join(kept.select(F.col("cls").alias("b"), F.col("id").alias("q")), "b")
+    texts = texts_of(docs, id, text, longer_than)
+    kept = cut(classes(texts))
+    pairs = similar_classes(kept, texts, run=run, at_least=at_least, tile=tile)
+    # Copies of one text, in tiles; a class with no run has no pair, not even among its copies.
+    sizes = kept.where(F.col("n_words") >= run).groupBy("cls").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copied = kept.hint("merge").join(sizes.hint("merge"), "cls").withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    left = copied.withColumn("other", every).select("cls", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("id_a"))
+    right = copied.withColumn("other", every).select("cls", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("id_b"))
+    own = left.hint("merge").join(right, ["cls", "i", "j"]).where("id_a < id_b").select("id_a", "id_b")
+    across = pairs.hint("merge").join(kept.select(F.col("cls").alias("a"), F.col("id").alias("p")).hint("merge"), "a").select("b", "p")
+    across = across.hint("merge").join(kept.select(F.col("cls").alias("b"), F.col("id").alias("q")).hint("merge"), "b")
     return own.unionByName(across.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")))
 
 
@@ -173,26 +416,27 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(nodes.select("node", F.col("node").alias("label")))
-    linked = label.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    linked = label.hint("merge").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     for _ in range(rounds):
-        seen = both.join(linked.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        step = linked.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        jump = step.join(step.select(F.col("node").alias("at"), F.col("label").alias("far")), step.label == F.col("at"), "left")
+        seen = both.hint("merge").join(linked.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
+        step = linked.hint("merge").join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
+        jump = step.hint("merge").join(step.select(F.col("node").alias("at"), F.col("label").alias("far")), step.label == F.col("at"), "left")
         nxt = cut(jump.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
         linked = nxt.select("node", "label")
         if nxt.where("label <> was").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.select("node").hint("merge").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def version_groups(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least: float = 0.8, longer_than: int = 0) -> DataFrame:  # noqa: A002
+def version_groups(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least: float = 0.8, longer_than: int = 0, tile: int = TILE) -> DataFrame:  # noqa: A002
     """``(id, class_id, group_id, n_links)``: one row per text, with its copies' class, its group of versions
     and the number of different texts that it is similar to. Cases as in ``similar_pairs``."""
-    kept = cut(classes(docs, id, text, longer_than))
-    pairs = cut(similar_classes(kept, run=run, at_least=at_least).select("a", "b"))
+    texts = texts_of(docs, id, text, longer_than)
+    kept = cut(classes(texts))
+    pairs = cut(similar_classes(kept, texts, run=run, at_least=at_least, tile=tile).select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     groups = components(pairs, kept.where("id = cls").select(F.col("cls").alias("node")))
-    out = kept.select("id", "cls").join(groups.select(F.col("node").alias("cls"), F.col("label").alias("group_id")), "cls").join(links, "cls", "left")
+    out = kept.hint("merge").join(groups.select(F.col("node").alias("cls"), F.col("label").alias("group_id")).hint("merge"), "cls").join(links.hint("merge"), "cls", "left")
     return out.select("id", F.col("cls").alias("class_id"), "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -15,8 +15,15 @@ def _runs(t, k):
 
 def _brute(rows, k, least, longer=0):
     docs = {i: _runs(t, k) for i, t in rows if i is not None and t is not None and len(t) > longer}
-    ids = sorted(docs)
-    return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if docs[a] | docs[b] and len(docs[a] & docs[b]) >= least * len(docs[a] | docs[b]) and docs[a] and docs[b]}
+    holders, common = {}, {}
+    for i in sorted(docs):
+        for r in docs[i]:
+            holders.setdefault(r, []).append(i)
+    for ids in holders.values():
+        for x, a in enumerate(ids):
+            for b in ids[x + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    return {(a, b) for (a, b), n in common.items() if n >= least * (len(docs[a]) + len(docs[b]) - n)}
 
 
 def _corpus(n=120, seed=5):
@@ -111,3 +118,60 @@ def test_pairs_on_either_side_of_few_own_runs(spark):
     want = _brute(rows, 3, 0.5)
     got = {tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()}
     assert (0, 1) in want and got == want
+
+
+def test_texts_of_one_template(spark):
+    """Every pair shares half of its runs through the template alone; nothing is left out as boilerplate."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(20_000)]
+    template = rng.choices(vocab, k=90)
+    rows = [(i, " ".join(template + rng.choices(vocab, k=rng.randrange(10, 60)))) for i in range(200)]
+    want = _brute(rows, 3, 0.5)
+    got = [tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5).collect()]
+    assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.999 * len(want)
+
+
+def test_large_blocks_and_copy_classes_in_tiles(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(20_000)]
+    one = rng.choices(vocab, k=80)
+    rows = [(i, " ".join(one[:40] + [f"n{i}"] + one[40:])) for i in range(60)] + [(i, " ".join(one)) for i in range(60, 100)]
+    got = [tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5, tile=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(100) for b in range(a + 1, 100)}
+
+
+def test_no_side_that_grows_is_broadcast(spark, data, capsys):
+    from rankloom.llm.queries import p3_found
+
+    p3_found(spark, data).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_blocks_follow_the_size():
+    import numpy as np
+
+    from rankloom.llm.nearcopies import MISS, plan_blocks
+
+    alone = np.full(1000, 0.08)
+    for n in (100, 10**5, 10**9):
+        blocks, rows = plan_blocks(n, alone, 0.5)
+        assert (1 - 0.5**rows) ** blocks <= MISS
+    assert plan_blocks(10**9, alone, 0.5)[1] > plan_blocks(10**4, alone, 0.5)[1]
+
+
+def test_min_hashes_agree_as_often_as_runs_are_shared():
+    import numpy as np
+
+    from rankloom.llm.nearcopies import bits_of, distance, min_hashes
+
+    rng = np.random.default_rng(0)
+    for n, k in ((200, 133), (12, 8), (1, 1), (900, 300)):
+        at = []
+        for _ in range(20):
+            runs = rng.integers(0, 2**63, 2 * n - k).astype(np.uint64)
+            low = min_hashes(np.concatenate([runs[:n], runs[n - k :]]), np.array([n, n]), 512)
+            at.append((low[0] == low[1]).mean())
+            b = bits_of(low)
+            assert np.bitwise_count((b[0] ^ b[1]).view(np.uint64)).sum() <= distance(k / (2 * n - k))
+        assert abs(np.mean(at) - k / (2 * n - k)) < 0.02
