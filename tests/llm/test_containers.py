@@ -79,3 +79,29 @@ def test_documents_come_back(spark, data):
         by.setdefault((r.spec, r.doc_id), []).append(r.n_tokens)
     for i, t in itertools.islice(texts.items(), 200):
         assert {s: sum(by.get((s, i), [])) for s in ("short", "standard", "long")} == dict.fromkeys(("short", "standard", "long"), count_tokens(t or ""))
+
+
+def test_fillings_are_undominated_and_come_by_waste():
+    from rankloom.llm.containers import dominated, fillings
+
+    rng = random.Random(1)
+    for _ in range(60):
+        counts = {}
+        for _ in range(rng.randrange(1, 8)):
+            s = rng.randrange(1, 12)
+            counts[s] = counts.get(s, 0) + 1
+        sizes, free = sorted(counts), rng.randrange(0, 25)
+        got = list(fillings(free, sizes, counts))
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(counts) * 8) for c in itertools.combinations([s for s in counts for _ in range(counts[s])], n) if sum(c) <= free}
+        want = {f for f in every if not dominated(f, free - sum(f), sizes, counts)}
+        first = {f for f in every if sum(f) == max(map(sum, every))}
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and all(w == free - sum(f) for w, f in got)
+        assert want <= {f for _, f in got} <= want | first and len(got) == len(set(got)) and got[0][1] in first
+    assert list(fillings(10, [2, 5], {2: 1, 5: 1})) == [(3, (5, 2))]
+
+
+def test_a_search_without_end_of_retries_is_exact():
+    rng = random.Random(2)
+    for _ in range(10):
+        sizes = [rng.randrange(15, 60) for _ in range(9)]
+        assert len(pack(sizes, 100, None)) == _least(sizes, 100)
