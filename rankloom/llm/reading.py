@@ -9,13 +9,17 @@ counted over all texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .wordhash import Lookup, code_points, hashes, lower, property_of
+
 #: A word is familiar if at least this part of the texts has it; there are at most (different words of a text) / FAMILIAR such words.
 FAMILIAR = 0.10
 #: Labelled texts the formula is fitted on at most; beyond them a hashed sample of that size is taken.
@@ -23,6 +27,7 @@ LABELS = 20_000
 #: Labelled texts below which the formula isn't fitted and CLASSIC holds.
 FEWEST = 30
 BANDS = ("basic", "intermediate", "advanced")
+LANGUAGES = ("en", "de", "fr")
 #: Frequent function words by which languages are told apart.
 FUNCTION_WORDS = {
     "en": frozenset("the of and to in is that it for you with on are this be as by at or from we our not they will can has have an a if who which their more than".split()),
@@ -31,7 +36,7 @@ FUNCTION_WORDS = {
 }
 #: Letters and endings of words, for texts that have no function word at all.
 _MARKS = {"de": re.compile(r"[äöüß]|(?:ung|keit|heit|lich|isch)(?:en|e|er|s)?\b"), "fr": re.compile(r"[éèêàçôû]|(?:eux|euse|ement|aire)s?\b"), "en": re.compile(r"(?:tion|ment|ity|ing|ly|ous|ive|ies|ship|ance)s?\b")}
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _END = re.compile(r"[.!?;…]+[\"'”’)\]]*\s+(?=[\"'“‘(\[]*[A-ZÄÖÜÉÀ0-9•*\-–])|\n+|[•▪]|[.!?]+\s*$")
 
 
@@ -41,7 +46,8 @@ def clean(text: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(clean(text))]
+    """Runs of letters in lower case; an apostrophe between two letters is part of the word."""
+    return _WORD.findall(clean(text).lower())
 
 
 def language(words: list[str]) -> str:
@@ -52,7 +58,7 @@ def language(words: list[str]) -> str:
     if max(hits.values()) == 0:
         joined = " ".join(words)
         hits = {k: len(p.findall(joined)) for k, p in _MARKS.items()}
-    return max(("en", "de", "fr"), key=lambda k: hits[k])
+    return max(LANGUAGES, key=lambda k: hits[k])
 
 
 def sentence_length(text: str, n_words: int) -> float:
@@ -61,43 +67,142 @@ def sentence_length(text: str, n_words: int) -> float:
     return n_words / max(1, pieces)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _role(c: str) -> int:
+    """What a character does: 1 ends a line, 2 ends a sentence, 4 may close behind it, 8 is a blank, 16 may open, 32 begins the next one, 64 is a letter, 128 an apostrophe."""
+    out = (c in "\n•▪") | (c in ".!?;…") * 2 | (c in "\"'”’)]") * 4 | c.isspace() * 8 | (c in "\"'“‘([") * 16
+    out |= ("A" <= c <= "Z" or "0" <= c <= "9" or c in "ÄÖÜÉÀ•*-–") * 32
+    return out | (c.isalnum() and not c.isdecimal()) * 64 | (c in "'’") * 128
+
+
+@cache
+def _function_words() -> Lookup:
+    """Of each function word the languages that have it, as bits."""
+    every = sorted(frozenset().union(*FUNCTION_WORDS.values()))
+    return Lookup(word_hashes(every), np.array([sum((w in FUNCTION_WORDS[k]) << i for i, k in enumerate(LANGUAGES)) for w in every]))
+
+
+def word_hashes(words: Sequence[str]) -> np.ndarray:
+    """The hash of each word; every one has a letter and no blank."""
+    cp, begins = code_points(words)
+    inside = np.ones(len(cp), bool)
+    inside[begins[1:] - 1] = False
+    return hashes(cp, inside)[0]
+
+
+class Measured:
+    """The words of some texts, all at once: their hashes, text by text, and the pieces they stand in."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = [clean(t) for t in texts]
+        cp, begins = code_points(self.texts)
+        role = property_of(cp, _role)
+        inside = (role & 64) > 0
+        mark = np.flatnonzero(role & 128)
+        mark = mark[mark > 0]  # the last code point is a line end
+        inside[mark[inside[mark - 1] & inside[mark + 1]]] = True
+        self.hash, starts, ends = hashes(property_of(cp, lower), inside)
+        self.n = np.diff(np.searchsorted(starts, begins))
+        self.owner = np.repeat(np.arange(len(texts)), self.n)
+        # A piece ends between two words where a line does, or a sentence that is followed by a blank and a new beginning.
+        at = np.flatnonzero(role & 2)
+
+        def beyond(place: np.ndarray, bit: int) -> np.ndarray:
+            """The first place at or after it that isn't of this kind; line ends are blanks, and the last of them stays."""
+            place = place.copy()
+            on = np.flatnonzero((role[place] & bit > 0) & (place + 1 < len(cp)))
+            while len(on):
+                place[on] += 1
+                on = on[(role[place[on]] & bit > 0) & (place[on] + 1 < len(cp))]
+            return place
+
+        closed = beyond(at + 1, 4)
+        blank = beyond(closed, 8)
+        stops = np.sort(np.concatenate([np.flatnonzero(role & 1), at[(blank > closed) & (role[beyond(blank, 16)] & 32 > 0)]]))
+        before = np.searchsorted(stops, starts)
+        new = np.ones(len(starts), bool)
+        new[1:] = (before[1:] > before[:-1]) | (self.owner[1:] != self.owner[:-1])
+        self.pieces = np.bincount(self.owner[new], minlength=len(texts))
+
+    def among(self, listed: Lookup) -> np.ndarray:
+        """How many words of each text are in a list."""
+        return np.bincount(self.owner[listed(self.hash) > 0], minlength=len(self.texts))
+
+    def languages(self) -> np.ndarray:
+        has = _function_words()(self.hash)
+        hits = np.stack([np.bincount(self.owner[has & (1 << i) > 0], minlength=len(self.texts)) for i in range(len(LANGUAGES))])
+        out = np.array(LANGUAGES, object)[hits.argmax(0)]
+        for i in np.flatnonzero(hits.max(0) == 0):
+            out[i] = language(words_of(self.texts[i]))
+        return out
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, Measured]]:
+    """Texts, a bounded number of them and of characters at a time; only a longer text exceeds it, alone."""
+    a = 0
+    while a < len(texts):
+        e, chars = a, 0
+        while e < len(texts) and e - a < 512 and (e == a or chars < 1_000_000):
+            chars += len(texts[e])
+            e += 1
+        yield a, Measured(texts[a:e])
+        a = e
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n: dict[str, int] = {}
-        docs = 0
-        for t in b["text"]:
-            w = words_of(t)
-            if language(w) == "en":
-                docs += 1
-                for x in set(w):
-                    n[x] = n.get(x, 0) + 1
-        yield pd.DataFrame({"word": ["", *n], "n": [docs, *n.values()]})  # the empty word counts the texts
-
-
-def familiar_words(texts: DataFrame, part: float = FAMILIAR) -> frozenset[str]:
-    """Words that at least ``part`` of the English texts have; a list of bounded length whatever the corpus."""
-    counted = texts.select(F.col("text")).where("text IS NOT NULL").mapInPandas(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counted.where("word = ''").select("n").first()
-    least = part * (total.n if total else 0)
-    return frozenset(r.word for r in counted.where((F.col("word") != "") & (F.col("n") >= F.lit(least))).select("word").collect())
-
-
-def measure(docs: DataFrame, familiar: frozenset[str], *, id: str, text: str) -> DataFrame:  # noqa: A002
+        every, docs = [np.empty(0, np.uint64)], 0
+        for _, m in _pieces(b.column("text").to_pylist()):
+            english = m.languages() == "en"
+            docs += int(english.sum())
+            h, owner = m.hash[english[m.owner]], m.owner[english[m.owner]]
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            every.append(h[first])
+        word, n = np.unique(np.concatenate(every), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(word.view(np.int64), 0)), pa.array(np.append(n, docs)), pa.array(np.append(np.zeros(len(n), bool), True))], ["word", "n", "texts"])
+
+
+class Familiar:
+    """Familiar words as a sorted list of hashes."""
+
+    def __init__(self, hashed: Sequence[int] = ()) -> None:
+        self.hashed = np.sort(np.array(hashed, np.int64).view(np.uint64))
+
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.hashed, np.ones(len(self.hashed), np.int64))
+
+    def __contains__(self, word: str) -> bool:
+        return bool(self.lookup(word_hashes([word.lower()])).all())
+
+
+def familiar_words(texts: DataFrame, part: float = FAMILIAR) -> Familiar:
+    """Words that at least ``part`` of the English texts have; a list of bounded length whatever the corpus.
+
+    The texts are read once: the counts are kept, and only the familiar words come to the driver.
+    """
+    counted = cut(texts.select(F.col("text")).where("text IS NOT NULL").mapInArrow(_count, "word bigint, n bigint, texts boolean").groupBy("word", "texts").agg(F.sum("n").alias("n")))
+    total = counted.where("texts").agg(F.sum("n").alias("n")).first()
+    least = part * (total.n or 0)
+    return Familiar([r.word for r in counted.where(~F.col("texts") & (F.col("n") >= F.lit(least))).select("word").collect()])
+
+
+def measure(docs: DataFrame, familiar: Familiar, *, id: str, text: str) -> DataFrame:  # noqa: A002
     """``(id, lang, n_words, unfamiliar, sentence)`` of each text, over its whole length."""
     known = docs.sparkSession.sparkContext.broadcast(familiar)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fam = known.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, t in zip(b["id"], b["text"]):
-                w = words_of(t)
-                n = len(w)
-                out.append((i, language(w), n, sum(x not in fam for x in w) / n if n else 0.0, sentence_length(t, n)))
-            yield pd.DataFrame(out, columns=["id", "lang", "n_words", "unfamiliar", "sentence"])
+            for a, m in _pieces(b.column("text").to_pylist()):
+                words = np.maximum(m.n, 1)
+                lang = np.where(m.n > 0, m.languages(), "")
+                figures = [pa.array(lang, pa.string()), pa.array(m.n), pa.array((m.n - m.among(known.value.lookup)) / words), pa.array(m.n / np.maximum(1, m.pieces))]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, len(m.n)), *figures], ["id", "lang", "n_words", "unfamiliar", "sentence"])
 
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInPandas(run, "id bigint, lang string, n_words bigint, unfamiliar double, sentence double")
+    return rows.mapInArrow(run, "id bigint, lang string, n_words bigint, unfamiliar double, sentence double")
 
 
 def _design(unfamiliar: np.ndarray, sentence: np.ndarray) -> np.ndarray:
@@ -152,7 +257,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, id: str, text: str, la
     band missing among them, the classic weights hold; an empty corpus makes every word unfamiliar.
     """
     every = (corpus if corpus is not None else docs).select(F.col(text).alias("text"))
-    figures = measure(docs, familiar_words(every), id=id, text=text)
+    figures = cut(measure(docs, familiar_words(every), id=id, text=text))  # a few numbers of each text, read once
     agreed = _agreed(labels, label_doc)
     n = agreed.count()
     if n > LABELS:

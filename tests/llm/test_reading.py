@@ -62,3 +62,17 @@ def test_held_out_accuracy(spark, data):
     levels = reading_levels(docs, labels.where("doc_id % 2 = 0"), id="doc_id", text="text")
     test = labels.where("doc_id % 2 = 1").join(levels.where("lang = 'en' AND n_words > 30").selectExpr("id AS doc_id", "band AS got"), "doc_id").toPandas()
     assert len(test) > 100 and set(test.got) == set(BANDS) and (test.band == test.got).mean() > 0.9
+
+
+def test_many_texts_at_once_are_measured_as_word_by_word(spark, data):
+    from rankloom.llm.reading import Measured
+    from rankloom.sources.tables import load
+
+    texts = [r.text for r in load(spark, data, "documents", "text").limit(300).collect()]
+    texts += ["", "...", "l'homme d'état. Il est là", "don't ' stop'", "'", "a\nb\n\n• c", "x. Y! z? 3 w", "end.\") Next", "soft­hyphen", "\U00020000 wide. \U00010400x", "½ share 12 34"]
+    m = Measured(texts)
+    langs = m.languages()
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        assert m.n[i] == len(w) and (not w or langs[i] == language(w)), t
+        assert not w or m.n[i] / max(1, m.pieces[i]) == pytest.approx(sentence_length(t, len(w))), t
