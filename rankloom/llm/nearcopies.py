@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .wordhash import GOLD, MIX, code_points, hashes, in_word, mixed, property_of, seed, seeds
 
 #: Probability that a pair of exactly the asked share has no block in common.
 MISS = 1e-4
@@ -38,52 +38,20 @@ SAMPLE = 512
 BLOCK_COST, PAIR_COST = 3.0, 0.06
 #: Members of one block that are compared in one task; larger blocks are split into tiles.
 TILE = 2048
-_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _WORDS = [f"x{k}" for k in range(BITS // 64)]
 
 
-def _mixed(h: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
-    y = (h ^ np.uint64(seed) if np.isscalar(seed) else h ^ seed) * _MIX
-    y ^= y >> np.uint64(31)
-    y *= _GOLD
-    return y ^ (y >> np.uint64(29))
-
-
-@cache
-def _points() -> tuple[np.ndarray, np.ndarray]:
-    """Of each code point a random number, and whether it is a letter or digit; made once in each worker."""
-    return _mixed(np.arange(0x110000, dtype=np.uint64), 0), np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
-
-
 class _Hasher:
-    """Hashes of word runs, straight from the code points of many texts at a time."""
+    """Hashes of word runs of many texts at a time."""
 
     def __init__(self, run: int) -> None:
         self.run = run
-        self.value, self.in_word = _points()
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        """Powers of an odd number and of its inverse modulo 2^64."""
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            base = int(_GOLD)
-            for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
-                p = np.full(size, x, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p))
 
     def word_hashes(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts one after the other, and how many each text has."""
-        low = [t.lower() for t in texts]
-        cp = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self._powers(len(cp) + 1)
-        # A word's hash is a polynomial in its code points, from the difference of two prefix sums.
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(self.value[cp] * self.up[: len(cp)])))
-        edge = np.diff(self.in_word[cp].astype(np.int8), prepend=np.int8(0))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last code point is a line end
-        h = (sums[ends] - sums[starts]) * self.down[starts]
-        return (h ^ (h >> np.uint64(32))) * _MIX, np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in low]])))
+        cp, begins = code_points([t.lower() for t in texts])
+        h, starts, _ = hashes(cp, property_of(cp, in_word).astype(bool))
+        return h, np.diff(np.searchsorted(starts, begins))
 
     def many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of all texts one after the other, repeated ones too, and how many each text has."""
@@ -93,9 +61,9 @@ class _Hasher:
         at = np.repeat(np.cumsum(n) - n - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         out = np.zeros(len(at), np.uint64)
         for k in range(self.run):
-            out = (out * _GOLD) ^ (h[at + k] + np.uint64(k))
+            out = (out * GOLD) ^ (h[at + k] + np.uint64(k))
             out ^= out >> np.uint64(29)
-        out *= _MIX
+        out *= MIX
         return out ^ (out >> np.uint64(32)), counts
 
     def digests(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +72,8 @@ class _Hasher:
         ends = np.cumsum(n)
         place = np.arange(len(h)) - np.repeat(ends - n, n)
         out = []
-        for seed in (1, 2):
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(h ^ _seed(place), _seed(seed)))))
+        for k in (1, 2):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(h ^ seeds(place), seed(k)))))
             out.append((sums[ends] - sums[ends - n]).view(np.int64))
         return out[0], out[1], n
 
@@ -116,15 +84,6 @@ def distance(at_least: float) -> int:
     return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
 
 
-def _seed(k: int | np.ndarray):
-    """Seeds by number; any two differ in about half of their bits."""
-    if isinstance(k, np.ndarray):
-        y = (k.astype(np.uint64) + np.uint64(1)) * _GOLD
-        y ^= y >> np.uint64(32)
-        return y * _MIX
-    return int(_seed(np.array([k]))[0])
-
-
 def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """``size`` min-wise hashes (texts x size) of texts with at least one run each.
 
@@ -138,7 +97,7 @@ def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     low = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
     half = np.uint64(32)
     for r in range(ROUNDS):
-        y = _mixed(runs, _seed(r))
+        y = mixed(runs, seed(r))
         place = ((y >> half) * np.uint64(size)) >> half
         np.minimum.at(low, text + place.astype(np.int64), (y & np.uint64(0xFFFFFFFF)) | np.uint64(r << 32))
     left = np.flatnonzero(low == np.iinfo(np.uint64).max)
@@ -150,21 +109,21 @@ def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         many = counts[owner]
         ends = np.cumsum(many)
         at = np.repeat(starts[owner] - (ends - many), many) + np.arange(ends[-1])
-        y = _mixed(runs[at], np.repeat(_seed(place + 1000), many))
+        y = mixed(runs[at], np.repeat(seeds(place + 1000), many))
         low[part] = (np.minimum.reduceat(y, ends - many) >> half) | np.uint64(ROUNDS << 32)
     return low.reshape(n, size)
 
 
 def bits_of(low: np.ndarray) -> np.ndarray:
     """Bit fingerprints (texts x BITS / 64, int64), one bit of each of the first hashes."""
-    bit = ((low[:, :BITS] * _GOLD) >> np.uint64(63)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))
+    bit = ((low[:, :BITS] * GOLD) >> np.uint64(63)) << (np.arange(BITS, dtype=np.uint64) % np.uint64(64))
     return np.ascontiguousarray(np.bitwise_or.reduce(bit.reshape(len(low), BITS // 64, 64), axis=2)).view(np.int64)
 
 
 def blocks_of(low: np.ndarray, blocks: int, rows: int) -> np.ndarray:
     """Block keys (texts x blocks, int64) of ``rows`` hashes each."""
     wide = low[:, : blocks * rows].reshape(len(low), blocks, rows)
-    key = np.arange(1, blocks + 1, dtype=np.uint64)[None, :] * _GOLD
+    key = np.arange(1, blocks + 1, dtype=np.uint64)[None, :] * GOLD
     for r in range(rows):
         key = (key ^ wide[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
@@ -257,51 +216,53 @@ def _meet(limit: int, tile: int):
     """
     names = ["a", "b", "block", *_WORDS]
 
-    def out(a, b, block, bits) -> pa.RecordBatch:
-        n = len(a)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if block is None else pa.array(block), *[none if bits is None else pa.array(bits[:, k]) for k in range(len(_WORDS))]], names)
-
-    def pairs(key: np.ndarray, cls: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        found, i, d = [], np.arange(len(key)), 1
-        while True:
+    def out(a, b, block, words) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if block is None else pa.array(block), *([none] * len(_WORDS) if words is None else [pa.array(w.view(np.int64)) for w in words])], names)
+
+    def pairs(key: np.ndarray, cls: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
+        left, right, d = [], [], 1
+        i = np.flatnonzero(key[1:] == key[:-1])
+        while len(i):
+            j = i + d
+            off = np.zeros(len(i), np.uint16)
+            for w in words:
+                off += np.bitwise_count(w[i] ^ w[j])
+            near = (off <= limit) & (cls[i] != cls[j])
+            left.append(cls[i[near]])
+            right.append(cls[j[near]])
+            d += 1
             i = i[i + d < len(key)]
             i = i[key[i] == key[i + d]]
-            if not len(i):
-                break
-            off = np.bitwise_count((bits[i] ^ bits[i + d]).view(np.uint64)).sum(1, dtype=np.int64)
-            near = i[(off <= limit) & (cls[i] != cls[i + d])]
-            if len(near):
-                found.append(np.stack([np.minimum(cls[near], cls[near + d]), np.maximum(cls[near], cls[near + d])], 1))
-            d += 1
-        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        x, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
         return out(both[:, 0], both[:, 1], None, None)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(_WORDS)), np.int64)
+        columns = ["block", "cls", *_WORDS]
+        held = [np.empty(0, np.int64)] * len(columns)
         hot = None
         for b in batches:
-            key = np.concatenate([key, b.column("block").to_numpy()])
-            cls = np.concatenate([cls, b.column("cls").to_numpy()])
-            bits = np.concatenate([bits, np.stack([b.column(w).to_numpy() for w in _WORDS], 1)])
+            held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, columns)]
+            key = held[0]
             if not len(key):
                 continue
-            new = np.flatnonzero(key[1:] != key[:-1]) + 1
-            ends = np.append(new, len(key))
-            starts = np.append(0, new)
-            large = (ends - starts > tile) | (key[starts] == hot if hot is not None else False)
+            starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            size = np.diff(np.append(starts, len(key)))
+            large = (size > tile) | (key[starts] == hot if hot is not None else False)
             tail = starts[-1]  # the last block may go on in the next batch
             hot = key[tail] if large[-1] else None
-            wide = np.repeat(large, ends - starts)
-            if wide.any():
-                yield out(cls[wide], None, key[wide], bits[wide])
-            done = ~wide
-            done[tail:] = False
-            yield pairs(key[done], cls[done], bits[done])
-            rest = np.zeros(len(key), bool)
-            rest[tail:] = ~wide[tail:]
-            key, cls, bits = key[rest], cls[rest], bits[rest]
-        yield pairs(key, cls, bits)
+            if large.any():
+                wide = np.repeat(large, size)
+                yield out(held[1][wide], None, key[wide], [h[wide] for h in held[2:]])
+                done = ~wide
+                done[tail:] = False
+                rest, held = [h[len(h) if large[-1] else tail :] for h in held], [h[done] for h in held]
+            else:
+                rest, held = [h[tail:] for h in held], [h[:tail] for h in held]
+            yield pairs(held[0], held[1], [h.view(np.uint64) for h in held[2:]])
+            held = rest
+        yield pairs(held[0], held[1], [h.view(np.uint64) for h in held[2:]])
 
     return meet
 
