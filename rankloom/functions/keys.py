@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 TAU_DAYS, VOLUME_BASE = 60.0, 11.0
 EVIDENCE_TEXT = 200
+# What somebody types for nothing.
+NO_VALUE = frozenset(["", "n/a", "none", "null", "nil", "nan", "unknown", "tbd", "tba", "not available", "not known", "not specified", "not provided", "(blank)", "blank", "(none)", "(null)", "(unknown)", "undefined", "empty", "missing", "not applicable", "unspecified"])
 
 
 def _c(c: str | Column) -> Column:
