@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import NO_VALUE
 from ..sources.tables import load
 from .containers import fill_containers, fill_report
 from .mapping import map_fields
@@ -112,7 +113,7 @@ big AS (SELECT canonical_id FROM m GROUP BY 1 HAVING count(DISTINCT id) > 1),
 v AS (SELECT canonical_id, id, updated_at, source, unnest(['industry', 'hq_city', 'hq_state']) AS field, unnest([industry, hq_city, hq_state]) AS value FROM m WHERE canonical_id IN (FROM big)),
 k AS (SELECT v.*, row_number() OVER (PARTITION BY canonical_id, field ORDER BY coalesce(f.trust, 0) DESC, updated_at DESC NULLS LAST, v.id) AS n
   FROM v LEFT JOIN feed f ON f.source = v.source
-  WHERE value IS NOT NULL AND regexp_matches(value, '[\\p{L}\\p{N}]') AND lower(trim(value)) NOT IN ('n/a', 'none', 'null', 'nil', 'nan', 'unknown', 'tbd', 'tba', 'not available', 'not known', 'not specified', 'not provided', '(blank)', 'blank', '(none)', '(null)', '(unknown)', 'undefined', 'empty', 'missing', 'not applicable', 'unspecified'))
+  WHERE value IS NOT NULL AND regexp_matches(value, '[\\p{L}\\p{N}]') AND lower(trim(value)) NOT IN (""" + ", ".join(f"'{x}'" for x in sorted(NO_VALUE)) + """))
 SELECT canonical_id, field, id AS member_id FROM k WHERE n = 1
 """
 

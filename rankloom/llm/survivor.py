@@ -2,33 +2,32 @@
 
 Bayesian fusion with copy detection: sources have an accuracy, estimated from the posterior of what
 they claim; sources that share values which the rest holds to be false depend on each other, and a
-vote that may be copied counts less. Statistics are kept per source and per pair of sources, a list
-that is fixed by the feeds and not by the rows; claims stay distributed.
+vote that may be copied counts less. Statistics of sources and of pairs of sources are tables like the
+claims themselves: every source has its own, and nothing but row counts comes to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keys import NO_VALUE
 from ..plans.lineage import cut
 
 #: Rounds of estimation; false values assumed per field; prior probability that two sources depend; share copied by a copier.
 ROUNDS, FALSE_VALUES, DEPEND, COPIED = 4, 20.0, 0.1, 0.8
-#: Sources that get statistics of their own; rows of any further ones share those of the null source.
-MOST_SOURCES = 2000
-PLACEHOLDERS = ("", "n/a", "none", "null", "nil", "nan", "unknown", "tbd", "tba", "not available", "not known", "not specified", "not provided", "(blank)", "blank", "(none)", "(null)", "(unknown)", "undefined", "empty", "missing", "not applicable", "unspecified")  # fixed values
+#: Rows of statistics up to which they are broadcast, a few MB; larger tables are joined by sort-merge.
+SMALL = 50_000
 
 
 def has_value(c: str | Column) -> Column:
     """Neither null nor blank nor a placeholder typed for nothing; any other text is a value."""
     t = F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s ]+|[\s ]+$", ""))
-    return F.coalesce(~t.isin(*PLACEHOLDERS) & t.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return F.coalesce(~t.isin(*sorted(NO_VALUE)) & t.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
 def claims(entities: DataFrame, members: DataFrame, *, entity: str, member_ids: str, member: str, source: str, stamp: str, fields: Sequence[str]) -> DataFrame:
@@ -47,70 +46,57 @@ def claims(entities: DataFrame, members: DataFrame, *, entity: str, member_ids:
     return each.where(has_value("value")).withColumn("key", F.trim(key))
 
 
-def _evidence(c: DataFrame) -> DataFrame:
-    """Per (entity, field, key) the sources that claim it, in order: a list no longer than the list of sources."""
-    return c.groupBy("entity", "field", "key").agg(F.array_sort(F.collect_set(F.coalesce("source", F.lit("")))).alias("sources"))
+def _sized(stats: DataFrame) -> DataFrame:
+    """Checkpointed statistics, broadcast only if they are few."""
+    kept = cut(stats)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept.hint("merge")
 
 
-def _lookup(values: dict[str, float], default: float) -> Callable[[Column], Column]:
-    """A bounded literal map from a source (or a pair of them) to its value."""
-    if not values:
-        return lambda key: F.lit(float(default))
-    table = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(float(v)))])
-    return lambda key: F.coalesce(F.element_at(table, key), F.lit(float(default)))
-
-
-def fuse(c: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
-    """``(entity, field, key, posterior)``, the accuracy of each source and the dependence of each pair."""
-    votes = cut(_evidence(c))
-    names = [r.s for r in votes.select(F.explode("sources").alias("s")).distinct().orderBy("s").limit(MOST_SOURCES).collect()]
-    accuracy, depend = {s: 0.8 for s in names}, {}
+def fuse(c: DataFrame, *, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(entity, field, key, posterior)``, the accuracy ``(s, a)`` of each source, and ``(x, y, p, later)`` of each pair of sources with
+    a common entity: the probability that one copies, which is the later, less accurate one."""
+    votes = cut(c.groupBy("entity", "field", "key").agg(F.array_sort(F.collect_set(F.coalesce("source", F.lit("")))).alias("sources")).withColumn("v", F.monotonically_increasing_id()))
+    said = votes.select("v", F.explode("sources").alias("s"))
+    shared = votes.where(F.size("sources") > 1).select("v", F.explode("sources").alias("x"), "sources").select("v", "x", F.explode("sources").alias("y")).where("x < y")
+    # Pairs of sources, not of rows: an entity of any size lists each of its sources once.
+    listed = votes.select("entity", "field", F.explode("sources").alias("s")).groupBy("entity", "field").agg(F.collect_set("s").alias("all")).where(F.size("all") > 1)
+    met = cut(listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x < y").groupBy("x", "y").agg(F.count("*").alias("n")))
+    accuracy, depend = _sized(said.select("s", F.lit(0.8).alias("a")).distinct()), None
     for _ in range(rounds):
-        scored = _posterior(votes, accuracy, depend)
-        stats = scored.select(F.explode("sources").alias("s"), "posterior").groupBy("s").agg(F.avg("posterior").alias("a")).collect()
-        accuracy = {r.s: min(0.99, max(0.05, r.a)) for r in stats if r.s in accuracy}
-        depend = _dependence(scored, accuracy)
-    return _posterior(votes, accuracy, depend).select("entity", "field", "key", "posterior"), accuracy, depend
+        scored = cut(_posterior(votes, said, shared, accuracy, depend).select("v", "posterior"))
+        by = said.hint("merge").join(scored, "v").groupBy("s").agg(F.avg("posterior").alias("a"))
+        accuracy = _sized(by.select("s", F.greatest(F.lit(0.05), F.least(F.lit(0.99), "a")).alias("a")))
+        depend = _sized(_dependence(shared.hint("merge").join(scored, "v"), met, accuracy))
+    return _posterior(votes, said, shared, accuracy, depend).select("entity", "field", "key", "posterior"), accuracy, depend
 
 
-def _posterior(votes: DataFrame, accuracy: dict[str, float], depend: dict[tuple[str, str], float]) -> DataFrame:
+def _posterior(votes: DataFrame, said: DataFrame, shared: DataFrame, accuracy: DataFrame, depend: DataFrame | None) -> DataFrame:
     """Bayes over the values claimed for one field; a vote is discounted by the chance that it is copied from a source before it."""
-    weight = {s: math.log(FALSE_VALUES * a / (1 - a)) for s, a in accuracy.items()}
-    worth = _lookup(weight, math.log(FALSE_VALUES * 4))
-    free = _lookup({f"{a}\x00{b}": 1 - COPIED * p for (a, b), p in depend.items() if p > 0.01}, 1.0)
-
-    def own(s: Column, i: Column) -> Column:
-        return F.aggregate(F.slice("sources", F.lit(1), i), F.lit(1.0), lambda acc, o: acc * free(F.concat(o, F.lit("\x00"), s)))
-
-    # The more accurate source is the original; sources come in that order.
-    order = sorted(accuracy, key=lambda s: (-accuracy[s], s))
-    place = _lookup({s: float(k) for k, s in enumerate(order)}, 1e9)
-    by_rank = F.transform(F.array_sort(F.transform("sources", lambda s: F.struct(place(s).alias("k"), s.alias("s")))), lambda x: x["s"])
-    summed = votes.withColumn("sources", by_rank).withColumn("vote", F.aggregate(F.transform("sources", lambda s, i: worth(s) * own(s, i)), F.lit(0.0), lambda a, x: a + x))
-    total = W.partitionBy("entity", "field")  # values of one field of one entity; partial sums come before any hot entity
+    each = said.join(accuracy, "s").select("v", "s", F.log(F.lit(FALSE_VALUES) * F.col("a") / (1 - F.col("a"))).alias("worth"))
+    if depend is not None:
+        own = shared.join(depend.where("p > 0.01").select("x", "y", "p", "later"), ["x", "y"]).groupBy("v", F.col("later").alias("s")).agg(F.sum(F.log(1 - F.lit(COPIED) * F.col("p"))).alias("off"))
+        each = each.hint("merge").join(own, ["v", "s"], "left").select("v", (F.col("worth") * F.exp(F.coalesce("off", F.lit(0.0)))).alias("worth"))
+    summed = votes.select("v", "entity", "field", "key").hint("merge").join(each.groupBy("v").agg(F.sum("worth").alias("vote")), "v")
+    total = W.partitionBy("entity", "field")  # different values of one field of one entity
     top = F.max("vote").over(total)
     return summed.withColumn("e", F.exp(F.col("vote") - top)).withColumn("posterior", F.col("e") / (F.sum("e").over(total) + F.lit(FALSE_VALUES) * F.exp(-top))).drop("e", "vote")
 
 
-def _dependence(scored: DataFrame, accuracy: dict[str, float]) -> dict[tuple[str, str], float]:
+def _dependence(shared: DataFrame, met: DataFrame, accuracy: DataFrame) -> DataFrame:
     """Probability that two sources depend, from the shared values held true and false and those that differ."""
-    pairs = scored.select("entity", "field", "posterior", F.explode("sources").alias("a"), "sources").select("posterior", "a", F.explode("sources").alias("b")).where("a < b")
-    same = {(r.a, r.b): (r.t, r.f) for r in pairs.groupBy("a", "b").agg(F.sum("posterior").alias("t"), F.sum(1 - F.col("posterior")).alias("f")).collect()}
-    per = scored.groupBy("entity", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("s"))
-    met = per.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").count()
-    out = {}
-    for r in met.collect():
-        t, f = same.get((r.a, r.b), (0.0, 0.0))
-        d = max(0.0, r["count"] - t - f)
-        x, y = accuracy.get(r.a, 0.8), accuracy.get(r.b, 0.8)
-        true, false = x * y, (1 - x) * (1 - y) / FALSE_VALUES
-        other = max(1e-9, 1 - true - false)
-        mean = (x + y) / 2
-        logs = math.log(DEPEND / (1 - DEPEND))
-        for n, p, q in ((t, true, mean), (f, false, 1 - mean), (d, other, 0.0)):
-            logs += n * (math.log(max(1e-12, COPIED * q + (1 - COPIED) * p)) - math.log(p))
-        out[r.a, r.b] = out[r.b, r.a] = float(1 / (1 + np.exp(-np.clip(logs, -50, 50))))
-    return out
+    same = shared.groupBy("x", "y").agg(F.sum("posterior").alias("t"), F.sum(1 - F.col("posterior")).alias("f"))
+    a = lambda c, n: accuracy.select(F.col("s").alias(c), F.col("a").alias(n))
+    rows = met.hint("merge").join(same, ["x", "y"], "left").na.fill(0.0, ["t", "f"]).join(a("x", "ax"), "x").join(a("y", "ay"), "y")
+    rows = rows.withColumn("d", F.greatest(F.lit(0.0), F.col("n") - F.col("t") - F.col("f")))
+    true, false, mean = F.col("ax") * F.col("ay"), (1 - F.col("ax")) * (1 - F.col("ay")) / F.lit(FALSE_VALUES), (F.col("ax") + F.col("ay")) / 2
+    other = F.greatest(F.lit(1e-9), 1 - true - false)
+    logs = F.lit(math.log(DEPEND / (1 - DEPEND)))
+    for n, p, q in (("t", true, mean), ("f", false, 1 - mean), ("d", other, F.lit(0.0))):
+        logs = logs + F.col(n) * (F.log(F.greatest(F.lit(1e-12), F.lit(COPIED) * q + F.lit(1 - COPIED) * p)) - F.log(p))
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logs))))
+    # The more accurate source is the original.
+    later = F.when((F.col("ax") > F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") < F.col("y"))), F.col("y")).otherwise(F.col("x"))
+    return rows.select("x", "y", chance.alias("p"), later.alias("later"))
 
 
 def survivors(c: DataFrame, trust: DataFrame | None = None, *, rounds: int = ROUNDS) -> DataFrame:
@@ -123,7 +109,7 @@ def survivors(c: DataFrame, trust: DataFrame | None = None, *, rounds: int = ROU
     Fields without any value give no row.
     """
     post, _, _ = fuse(c, rounds=rounds)
-    rows = c.join(post, ["entity", "field", "key"])
+    rows = c.hint("merge").join(post, ["entity", "field", "key"])
     never = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
     stamp = F.coalesce("stamp", never)
     score = F.round("posterior", 9)

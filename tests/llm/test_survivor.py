@@ -36,6 +36,7 @@ def test_copied_votes_count_less(spark):
         groups.append((e, ids, 0))
     c = _claims(spark, groups, rows)
     _, accuracy, depend = fuse(c, rounds=5)
+    accuracy, depend = {r.s: r.a for r in accuracy.collect()}, {(r.x, r.y): r.p for r in depend.collect()}
     assert depend["c1", "c2"] > 0.9 > 0.6 > depend.get(("x", "y"), 0)
     assert accuracy["x"] > 0.9 > 0.75 > accuracy["c1"]
     got = {r.entity: r.value for r in survivors(c, rounds=5).collect()}
@@ -60,3 +61,42 @@ def test_found_equals_sql(spark, data):
     from rankloom.llm.queries import QUERIES, SQL
 
     assert spark_rows(QUERIES["p7_found"](spark, data)) == sql_rows(SQL["p7_found"], data)
+
+
+def test_every_source_has_its_own_accuracy(spark):
+    """More sources than any list would hold by name: the last one by name is the liar."""
+    groups, rows, i = [], [], 0
+    for e in range(900):
+        ids = []
+        for s, v in ((f"s{e % 700:04}", f"true {e}"), (f"t{e % 450:04}", f"true {e}"), (f"u{e % 300:04}", f"true {e}"), ("zz", f"false {e}")):
+            i += 1
+            rows.append((i, s, T[0], v))
+            ids.append(i)
+        groups.append((e, ids, 0))
+    _, accuracy, _ = fuse(_claims(spark, groups, rows))
+    a = {r.s: r.a for r in accuracy.collect()}
+    assert len(a) == 1451 and a["zz"] < 0.1 and min(v for k, v in a.items() if k != "zz") > 0.9
+
+
+def test_planted_truth_is_fused_back(spark):
+    """Sources of known accuracy, one copier among them: the most probable values are the true ones."""
+    import random
+
+    rng = random.Random(9)
+    right = {"a": 0.95, "b": 0.85, "c": 0.75, "d": 0.6}
+    groups, rows, i = [], [], 0
+    for e in range(400):
+        ids, said = [], {}
+        for s, p in right.items():
+            if rng.random() < 0.8:
+                said[s] = f"true {e}" if rng.random() < p else f"false {e} {rng.randrange(8)}"
+        if "d" in said:
+            said["copy"] = said["d"]
+        for s, v in said.items():
+            i += 1
+            rows.append((i, s, T[0], v))
+            ids.append(i)
+        groups.append((e, ids, 0))
+    got = {r.entity: r.value for r in survivors(_claims(spark, groups, rows)).collect()}
+    many = [e for e, ids, _ in groups if len(ids) > 2]
+    assert len(many) > 200 and sum(got[e] == f"true {e}" for e in many) / len(many) > 0.93
