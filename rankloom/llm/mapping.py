@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,37 @@ def _likeness(word: str, of: str) -> float:
     return best if best >= 0.6 else 0.0
 
 
+class _Letters:
+    """How often each letter occurs in each of some words: a bound of their edit distances to any other."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.counts = np.array([self.count(w) for w in words], np.int32).reshape(len(words), 36)
+        self.length = self.counts.sum(1)
+        self.first: dict[str, list[str]] = {}
+        for w in words:
+            self.first.setdefault(w[:1], []).append(w)
+
+    @staticmethod
+    def count(word: str) -> np.ndarray:
+        """Of each letter and digit; a folded word has no others."""
+        n = np.bincount(np.frombuffer(word.encode(), np.uint8), minlength=128)
+        return np.concatenate([n[48:58], n[97:123]])
+
+    def apart(self, word: str) -> np.ndarray:
+        """No edit distance is smaller: an edit changes the count of one letter up and of one down, a swap changes none."""
+        off = self.counts - self.count(word)
+        up = np.maximum(off, 0).sum(1)
+        return np.maximum(up, up - off.sum(1))
+
+    def within(self, word: str, most: int) -> set[str]:
+        return {self.words[k] for k in np.flatnonzero(self.apart(word) <= most)}
+
+    def shortened(self, word: str) -> set[str]:
+        """Those that this word may be an abbreviation of: the same first letter, and longer."""
+        return {w for w in self.first.get(word[:1], ()) if len(w) > len(word)}
+
+
 class Vocabulary:
     """Names and aliases of one kind: ``(term_id, term, aliases)``."""
 
@@ -86,6 +118,12 @@ class Vocabulary:
         self.solid: dict[str, int] = {}
         for key, i in [*self.names.items(), *self.aliases.items()]:
             self.solid.setdefault(key.replace(" ", ""), i)
+        # For the fuzzy step: the letters of each name without spaces, and of each of their words.
+        self.listed = [(i, name.replace(" ", ""), [w for w in name.split() if w != "and"]) for i, name in self.terms.items()]
+        self.flats = _Letters([flat for _, flat, _ in self.listed])
+        self.most = np.array([max(1, round(0.26 * len(flat))) for _, flat, _ in self.listed], np.int64)
+        self.words = _Letters(sorted({w for _, _, name in self.listed for w in name}))
+        self.known: dict[str, dict[str, float]] = {}
         self.machine = ahocorasick.Automaton()
         for key, i in [*self.aliases.items(), *self.names.items()]:
             self.machine.add_word(f" {key} ", (key, i))
@@ -111,42 +149,55 @@ class Vocabulary:
             return i
         return 0
 
+    def likes(self, word: str) -> dict[str, float]:
+        """The words of names that this word is like, and how much; each different word is compared once."""
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = {of: x for of in self.words.within(word, 3) | self.words.shortened(word) if (x := _likeness(word, of)) > 0}
+        return self.known[word]
+
     def similar(self, key: str) -> int:
         """The entry that the value's words or letters spell best, 0 if none does clearly."""
-        words = [w for w in key.split() if w not in ("and",)]
+        words = [w for w in key.split() if w != "and"]
         own = sum(w not in DECORATION and not re.fullmatch(r"v?\d+", w) for w in words)
-        scores: list[tuple[float, int]] = []
-        for i, name in self.terms.items():
-            size = len(name.replace(" ", ""))
-            solid, flat = key.replace(" ", ""), name.replace(" ", "")
-            most = max(1, round(0.26 * size))
-            n = edits(solid, flat, most)
-            score = 1 - n / max(size, len(solid)) if n <= most else 0.0
-            scores.append((max(score, self._token_set(words, [w for w in name.split() if w != "and"], own)), i))
-        scores.sort(key=lambda s: (-s[0], s[1]))
-        if not scores or scores[0][0] < LEAST:
+        solid = key.replace(" ", "")
+        scores: dict[int, float] = {}
+        for k in np.flatnonzero(self.flats.apart(solid) <= self.most):
+            i, flat, _ = self.listed[k]
+            n = edits(solid, flat, int(self.most[k]))
+            if n <= self.most[k]:
+                scores[i] = 1 - n / max(len(flat), len(solid))
+        if words:
+            likes = [self.likes(w) for w in words]
+            for i, _, name in self.listed:
+                score = self._token_set(words, likes, name, own)
+                if score > scores.get(i, 0.0):
+                    scores[i] = score
+        best = sorted(((s, i) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))
+        if not best or best[0][0] < LEAST:
             return 0
-        if len(scores) > 1 and scores[0][0] - scores[1][0] < LEAD:
+        if len(best) > 1 and best[0][0] - best[1][0] < LEAD:
             return 0
-        return scores[0][1]
+        return best[0][1]
 
     @staticmethod
-    def _token_set(words: list[str], name: list[str], own: int) -> float:
+    def _token_set(words: list[str], likes: list[dict[str, float]], name: list[str], own: int) -> float:
         """Mean likeness of the name's words, each to a word of its own; words left over must be decoration."""
-        if not words or len(words) < len(name) or own > len(name):  # each name word takes one, and one would be left over
+        if len(words) < len(name) or own > len(name):  # each name word takes one, and one would be left over
             return 0.0
-        free, total, letters = list(words), 0.0, 0
+        free, total, letters = list(range(len(words))), 0.0, 0
         for w in sorted(name, key=len, reverse=True):
-            best = max(free, key=lambda x: _likeness(x, w), default=None)
-            like = _likeness(best, w) if best is not None else 0.0
+            best = max(free, key=lambda x: likes[x].get(w, 0.0), default=None)
+            like = likes[best].get(w, 0.0) if best is not None else 0.0
             if like == 0.0:
                 return 0.0
             free.remove(best)
             total += like * len(w)
             letters += len(w)
-        if any(x not in DECORATION and not re.fullmatch(r"v?\d+", x) for x in free):
+        if any(words[x] not in DECORATION and not re.fullmatch(r"v?\d+", words[x]) for x in free):
             return 0.0
-        return total / letters
+        return total / letters if letters else 0.0
 
     def find(self, value: str) -> int:
         """The entry that ``value`` names, 0 if none."""
@@ -189,7 +240,8 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
             yield b.assign(term_id=pd.Series(out, b.index, "int64"))[["kind", "raw_value", "term_id"]]
 
     different = values.select(F.col("kind").cast("string"), F.col("raw_value").cast("string")).where("kind IS NOT NULL AND raw_value IS NOT NULL").distinct()
-    return different.mapInPandas(match, "kind string, raw_value string, term_id bigint")
+    # By count, not by bytes: a value costs its comparison, however short it is.
+    return different.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "raw_value").mapInPandas(match, "kind string, raw_value string, term_id bigint")
 
 
 def map_fields(fields: DataFrame, terms: DataFrame) -> DataFrame:
