@@ -22,7 +22,7 @@ from ..plans.lineage import cut
 
 #: Items of a group; part of its space that a container may keep without being opened again.
 GROUP, OPEN = 1000, 0.01
-#: Fillings that the search of a group tries beyond those of its first descent; None searches until the packing is proven best.
+#: Fillings that the search of a group looks at after its first descent; None searches until the packing is proven best.
 RETRIES = 100
 
 
@@ -88,19 +88,24 @@ def dominated(filling: tuple[int, ...], free: int, sizes: list[int], counts: dic
     return False
 
 
-def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """The undominated fillings (waste, sizes) of ``free`` from the distinct ``sizes`` in ascending order, least waste first."""
+def _looked_at(free: int, sizes: list[int], counts: dict[int, int]) -> Iterator[tuple[int, tuple[int, ...] | None]]:
+    """All fillings of ``free`` by waste; None stands for a dominated one, so that whoever asks can count it."""
     sums = _sums(sizes, counts, free)
     left = sums[-1]
     while left:
         total = left.bit_length() - 1
         for n, f in enumerate(_made(sums, sizes, counts, len(sums) - 1, total)):
             # The first of the fullest is never dominated: what takes the place of several items is larger than each of them.
-            if (n == 0 and left == sums[-1]) or not dominated(f, free - total, sizes, counts):
-                yield free - total, f
+            first = n == 0 and left == sums[-1]
+            yield free - total, f if first or not dominated(f, free - total, sizes, counts) else None
         left ^= 1 << total
 
 
+def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The undominated fillings (waste, sizes) of ``free`` from the distinct ``sizes`` in ascending order, least waste first."""
+    return ((w, f) for w, f in _looked_at(free, sizes, counts) if f is not None)
+
+
 def pack(sizes: list[int], capacity: int, retries: int | None = RETRIES) -> list[list[int]]:
     """Indices of the items of each container; every item fits by itself. Whatever ends the search, a full packing comes back."""
     best = best_fit(sizes, capacity)
@@ -121,34 +126,38 @@ def pack(sizes: list[int], capacity: int, retries: int | None = RETRIES) -> list
             elif sign < 0 and counts[s] == 1:
                 insort(distinct, s)
 
-    def options() -> Iterator[tuple[int, tuple[int, ...]]]:
+    def options() -> Iterator[tuple[int, tuple[int, ...] | None]]:
         """Each filling around the largest item; what is taken meanwhile is given back before the next one is asked for."""
         top = distinct[-1]
         take((top,), 1)
         own, left = list(distinct), dict(counts)
         take((top,), -1)
-        return ((w, (top, *f)) for w, f in fillings(capacity - top, own, left))
+        return ((w, None if f is None else (top, *f)) for w, f in _looked_at(capacity - top, own, left))
 
     best_sizes, filled, wasted = None, [], 0
-    stack, back = [options()], 0
-    while stack and (retries is None or back <= retries):
+    stack, tried, first = [options()], 0, True
+    while stack and (retries is None or tried <= retries):
         nxt = next(stack[-1], None)
-        waste, items = nxt or (0, ())
+        tried += not first
         allowed = (len(best) - 1) * capacity - total  # waste of a packing with one container less
-        if nxt is None or wasted + waste > allowed:  # fillings come by waste: none of the later ones is better
+        if nxt is None or wasted + nxt[0] > allowed:  # fillings come by waste: none of the later ones is better
+            first = False
             stack.pop()
-            back += 1
             if filled:
                 waste, items = filled.pop()
                 take(items, -1)
                 wasted -= waste
             continue
+        waste, items = nxt
+        if items is None:
+            continue
         take(items, 1)
         filled.append(nxt)
         wasted += waste
         if distinct:
             stack.append(options())
             continue
+        first = False
         best_sizes = [f for _, f in filled]
         best = [[] for _ in best_sizes]
         if len(best) <= least:
@@ -190,7 +199,7 @@ def fill_containers(sizes: DataFrame, specs: DataFrame, *, group: int = GROUP, r
 
     ``sizes`` is (``id``, ``n_tokens``), ``specs`` (``spec``, ``capacity_tokens``), a short list. A text larger than the container is cut
     into full pieces, which fill containers of their own, and a rest; all others stay whole. ``group``
-    items are searched together, ``retries`` fillings are tried anew in a group, and containers that keep
+    items are searched together, ``retries`` fillings are looked at anew in a group, and containers that keep
     more than the part ``keep`` of their space are opened again; with ``retries`` None and all items in
     one group the packing is the best there is. Defined cases: texts without tokens and null ids are in
     no container; rows that repeat an id are one text, the largest; null or non-positive capacities are
