@@ -7,7 +7,6 @@ import math
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,15 +80,22 @@ def hashed_vector(text: str, dim: int = 64) -> list[float]:
         raise ValueError("an empty text has no vector")
     out = [0.0] * dim
     for w in found:
-        h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-        out[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] & 1 else -1.0
+        h = hashlib.md5(w.encode()).hexdigest()
+        out[int(h[:4], 16) % dim] += 1.0 if int(h[4], 16) % 2 else -1.0
     norm = math.sqrt(sum(x * x for x in out)) or 1.0
     return [x / norm for x in out]
 
 
-def hashed_column(c: str | Column) -> Column:
-    """``hashed_vector`` of a text column, in Arrow batches; null and wordless texts have no vector."""
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashed_vector(t) if t and words_of(t) else None)
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, whatever number of times it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
-    return F.pandas_udf(run, "array<double>")(F.col(c) if isinstance(c, str) else c)
+
+def hashed_column(c: str | Column, dim: int = 64) -> Column:
+    """``hashed_vector`` of a text column, inside the JVM; null and wordless texts have no vector."""
+    number = lambda w, at, n: F.conv(F.substring(w, at, n), 16, 10).cast("int")
+    signed = lambda m: F.struct((number(m, 1, 4) % dim).alias("at"), F.when(number(m, 5, 1) % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))
+    hashed = F.transform(F.transform(words(c), lambda w: F.md5(w)), signed)
+    counts = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(h, lambda x: x["at"] == i), F.lit(0.0), lambda a, x: a + x["sign"]))
+    scaled = lambda raw: _once(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(raw, lambda x: x / F.when(n > 0, n).otherwise(1.0)))
+    return _once(hashed, lambda h: F.when(F.size(h) > 0, _once(counts(h), scaled)))

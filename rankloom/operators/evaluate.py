@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -59,7 +60,9 @@ def tune(axes: DataFrame, labels: DataFrame, grid: Sequence[tuple[float, float,
     ``axes`` (query_id, item, coverage, recency, volume, best_doc) is retrieved once and scored for each point of the grid, a list of
     a few thousand that travels as one array; only the first places of each (point, query) leave a task.
     """
-    points = F.array(*[F.struct(F.lit(i).alias("grid_id"), *[F.lit(float(x)).alias(f"w{k}") for k, x in enumerate(p)]) for i, p in enumerate(grid)])
+    # One literal each, parsed once when the plan is made.
+    listed = json.dumps([{"grid_id": i, **{f"w{k}": float(x) for k, x in enumerate(p)}} for i, p in enumerate(grid)])
+    points = F.from_json(F.lit(listed), "array<struct<grid_id: int, w0: double, w1: double, w2: double, w3: double>>")
     each = axes.withColumn("g", F.explode(points))
     total = F.col("g.w0") * F.col("coverage") + F.col("g.w1") * F.col("recency") + F.col("g.w2") * F.col("volume") + F.col("g.w3") * F.col("best_doc")
     scored = each.select(F.struct(F.col("g.grid_id").alias("grid_id"), "query_id").alias("query_id"), "item", F.round(total, 9).alias("s"))
@@ -69,5 +72,5 @@ def tune(axes: DataFrame, labels: DataFrame, grid: Sequence[tuple[float, float,
     wide = labels.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))).select(F.struct(F.col("g").alias("grid_id"), "query_id").alias("query_id"), "item")
     rows = measures(placed.select("query_id", "item", "place"), wide)
     by = rows.groupBy(F.col("query_id.grid_id").alias("grid_id")).agg(F.avg(F.col("precision") / F.col("precision_ceiling")).alias("p"), F.avg(F.col("recall") / F.col("recall_ceiling")).alias("r"), F.avg("reciprocal").alias("m"))
-    off = F.element_at(F.array(*[F.lit(sum(abs(a - b) for a, b in zip(p, prior))) for p in grid]), F.col("grid_id") + 1)
+    off = F.element_at(F.from_json(F.lit(json.dumps([sum(abs(a - b) for a, b in zip(p, prior)) for p in grid])), "array<double>"), F.col("grid_id") + 1)
     return by.select("grid_id", F.round((F.col("p") + F.col("r") + F.col("m")) / 3, 9).alias("composite"), F.round(off, 6).alias("distance")).orderBy(F.desc("composite"), "distance", "grid_id")

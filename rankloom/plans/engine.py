@@ -1,12 +1,12 @@
-"""Structured search: predicates, lists, fusion, scores, exclusions and the reason of an empty result.
+"""Structured search: predicates, lists, fusion, scores, exclusions and the report of the filters.
 
 All of it is one lazy plan over the tables; the driver only reads the vocabularies, which are lists of
-a known kind, and the one aggregate that explains an empty result.
+a known kind, and the few rows that tell why a result is empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
@@ -23,8 +23,8 @@ from .chips import Chips, phrases, role_phrases, values
 
 #: Dimensions in the order in which they break ties.
 DIMENSIONS = ("naics", "sic", "industry", "location", "segment", "linkedin", "employees", "revenue", "negation")
-FIELD_OF = {"naics": "any NAICS code", "sic": "any SIC code", "segment": "any segment", "linkedin": "a LinkedIn profile", "revenue": "a revenue figure"}
-SPARSE = 90.0
+#: Dimensions that look at one field, and when a company has it.
+FIELDS = {"naics": "size(naics_codes) > 0", "sic": "size(sic_codes) > 0", "segment": "size(segments) > 0", "linkedin": "linkedin_url IS NOT NULL", "revenue": "revenue_usd IS NOT NULL"}
 
 
 def all_of(cols: Sequence[Column]) -> Column:
@@ -188,8 +188,8 @@ def compile_predicate(chips: Chips, vocabulary: Vocabulary, now: Column) -> Pred
     return Predicate(dims, all_of(job), not_used, not_hired, notes)
 
 
-def flagged(t: Tables, p: Predicate) -> DataFrame:
-    """Every canonical company with one boolean per active dimension."""
+def flagged(t: Tables, p: Predicate, *, fields: bool = False) -> DataFrame:
+    """Every canonical company with one boolean per active dimension; with ``fields`` another for having the field it looks at."""
     rows = t.companies
     if "industry" in p.dims or p.not_used:
         s = t.of("company_signal", "company_id", "industry_canonical", "technologies")
@@ -200,7 +200,8 @@ def flagged(t: Tables, p: Predicate) -> DataFrame:
         rows = rows.join(hired, "company_id", "left")
         negated = negated | F.coalesce(F.col("hires"), F.lit(False))
     rows = rows.withColumn("negated", negated)
-    return rows.select("company_id", *[F.coalesce(c, F.lit(False)).alias(f"d_{k}") for k, c in p.dims.items()])
+    has = [F.coalesce(F.expr(FIELDS[k]), F.lit(False)).alias(f"f_{k}") for k in p.dims if k in FIELDS] if fields else []
+    return rows.select("company_id", *[F.coalesce(c, F.lit(False)).alias(f"d_{k}") for k, c in p.dims.items()], *has)
 
 
 def allowed(t: Tables, p: Predicate) -> DataFrame | None:
@@ -302,24 +303,9 @@ def excluded(t: Tables, chips: Chips, vocabulary: Vocabulary, query: Sequence[fl
     return placed.join(by, "company_id").orderBy("would_rank").limit(chips.limit)
 
 
-def label(dim: str, chips: Chips) -> str:
-    """What a person would call a dimension of this query."""
-    shown = {
-        "naics": lambda: "NAICS " + ", ".join(chips.naics), "sic": lambda: "SIC " + ", ".join(chips.sic), "segment": lambda: "segment " + ", ".join(chips.segments),
-        "industry": lambda: "industry " + ", ".join(("not " if v.negate else "") + v.value for v in chips.industries),
-        "location": lambda: "location " + ", ".join(("not " if v.negate else "") + v.value for v in chips.locations),
-        "linkedin": lambda: "with a LinkedIn profile" if chips.has_linkedin else "without a LinkedIn profile",
-        "employees": lambda: f"employees {chips.min_employees or 'any'} to {chips.max_employees or 'any'}",
-        "revenue": lambda: f"revenue {chips.min_revenue_usd or 'any'} to {chips.max_revenue_usd or 'any'}",
-        "negation": lambda: "not " + ", ".join(a for g in chips.negated_groups() for a in g.any_of),
-    }
-    return shown[dim]()
-
-
 def coverage_of_fields(t: Tables) -> DataFrame:
     """One row: all companies, and how many have each field."""
-    has = {"naics": F.size("naics_codes") > 0, "sic": F.size("sic_codes") > 0, "segment": F.size("segments") > 0, "linkedin": F.col("linkedin_url").isNotNull(), "revenue": F.col("revenue_usd").isNotNull()}
-    return t.companies.agg(F.count("*").alias("universe"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in has.items()])
+    return t.companies.agg(F.count("*").alias("universe"), *[F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(k) for k, c in FIELDS.items()])
 
 
 def dimension_counts(t: Tables, p: Predicate) -> DataFrame:
@@ -333,24 +319,25 @@ def dimension_counts(t: Tables, p: Predicate) -> DataFrame:
     return flagged(t, p).agg(F.count("*").alias("universe"), *aggs)
 
 
-def explain_zero(t: Tables, chips: Chips, vocabulary: Vocabulary, now: Column) -> dict | None:
-    """Why nothing came back: the scarcest single filter and what dropping it would give; None if no filter is to blame."""
-    p = compile_predicate(chips, vocabulary, now)
-    if not p.dims:
-        return None
-    n = dimension_counts(t, p).first().asDict()
-    if n["passing"] > 0:
-        return None
-    active = [k for k in DIMENSIONS if k in p.dims]
-    limiter = min(active, key=lambda k: (n[f"only_{k}"], DIMENSIONS.index(k)))
-    only, universe = n[f"only_{limiter}"], n["universe"]
-    if limiter in FIELD_OF:
-        share = 100 * coverage_of_fields(t).first()[limiter] / universe if universe else 0.0
-        note = f"{only} of {universe:,} companies match {label(limiter, chips)}"
-        note += f"; only {share:.1f}% of companies carry {FIELD_OF[limiter]}" if share < SPARSE else " — no company has that value"
-    else:
-        note = f"only {only} of {universe:,} companies match {label(limiter, chips)} ({100 * only / universe if universe else 0:.1f}% of the index)"
-    rest = [k for k in active if k != limiter]
-    wide = "companies matching " + " and ".join(label(k, chips) for k in rest) if rest else "companies overall"
-    return {"universe": universe, "applied": [label(k, chips) for k in active], "limiter": label(limiter, chips), "limiter_count": only, "note": note, "relax": f"Drop {label(limiter, chips)}", "relax_count": n[f"without_{limiter}"], "relax_to": wide}
+def filter_report(t: Tables, p: Predicate) -> DataFrame:
+    """One row per active filter, from one pass over the companies: ``place`` in the order of DIMENSIONS, all companies and those that
+    pass everything, and of this filter those that pass it alone, that pass all others, and that have its field (null if it looks at several)."""
+    dims = [k for k in DIMENSIONS if k in p.dims]
+    sums = [F.count("*").alias("n_all"), F.count_if(all_of([F.col(f"d_{k}") for k in dims])).alias("n_passing")]
+    for k in dims:
+        sums += [F.count_if(F.col(f"d_{k}")).alias(f"alone_{k}"), F.count_if(all_of([F.col(f"d_{o}") for o in dims if o != k])).alias(f"others_{k}")]
+        sums.append((F.count_if(F.col(f"f_{k}")) if k in FIELDS else F.lit(None).cast("bigint")).alias(f"field_{k}"))
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(k).alias("filter"), F.col(f"alone_{k}").alias("n_alone"), F.col(f"others_{k}").alias("n_others"), F.col(f"field_{k}").alias("n_field")) for i, k in enumerate(dims, 1)]
+    return flagged(t, p, fields=True).agg(*sums).select(F.inline(F.array(*rows)), "n_all", "n_passing")
 
+
+def why_empty(report: Sequence[Mapping]) -> str | None:
+    """What a filter report says about an empty result; None if it isn't the filters that emptied it."""
+    if not report or report[0]["n_passing"]:
+        return None
+    worst = min(report, key=lambda r: (r["n_alone"], r["place"]))
+    said = [f"No company passes every filter; fewest pass {worst['filter']}: {worst['n_alone']} of {worst['n_all']}."]
+    if worst["n_field"] is not None:
+        said.append(f"{worst['n_field']} companies have that field.")
+    said.append(f"Without this filter {worst['n_others']} would be left.")
+    return " ".join(said)

@@ -14,6 +14,7 @@ from ..operators import vocabulary as vo
 from ..operators.retrieve import best_per
 from ..sources.tables import load
 from ..streaming.events import windowed_counts
+from .engine_queries import census_sql, role_sql
 
 VERSION, MODEL = "job-v4", "extract-a"
 TECH = "(SELECT * FROM canonical_term WHERE kind = 'technology')"
@@ -111,7 +112,14 @@ def template_sentences(spark, d):
     return load(spark, d, "lead_company", "id", "industry", "hq_city", "hq_state", "hq_country", "technologies").select("id", said.alias("paraphrase"))
 
 
-@query()
+_SIZED = "CASE WHEN regexp_matches({0}, '^\\d+(\\.\\d+)?k') THEN round(1000 * CAST(regexp_extract({0}, '^(\\d+(?:\\.\\d+)?)k', 1) AS DOUBLE))::BIGINT WHEN regexp_matches({0}, '^\\d+($|\\s*-|\\+)') THEN try_cast(regexp_extract({0}, '^(\\d+)', 1) AS BIGINT) END"
+_MOST = "CASE WHEN regexp_matches({0}, '^\\d+(\\.\\d+)?k') THEN round(1000 * CAST(regexp_extract({0}, '^(\\d+(?:\\.\\d+)?)k', 1) AS DOUBLE))::BIGINT WHEN regexp_matches({0}, '^\\d+$') THEN try_cast({0} AS BIGINT) WHEN regexp_matches({0}, '^\\d+\\s*-') THEN try_cast(regexp_extract({0}, '^\\d+\\s*-(\\d+)', 1) AS BIGINT) END"
+_WORDED = f"""SELECT id, CASE WHEN n IS NULL THEN '' WHEN n <= 500 THEN 'Small ' WHEN n <= 1000 THEN 'Mid-size ' WHEN n <= 10000 THEN 'Large ' ELSE 'Enterprise ' END AS size FROM (
+  SELECT id, CASE WHEN {_SIZED.format('c')} IS NULL THEN coalesce({_MOST.format('r')}, {_SIZED.format('r')}) ELSE coalesce({_MOST.format('c')}, {_SIZED.format('c')}) END AS n
+  FROM (SELECT id, trim(replace(lower(employee_count), ',', '')) AS c, trim(replace(lower(employee_range), ',', '')) AS r FROM lead_company))"""
+
+
+@query(f"SELECT id, CASE WHEN size <> '' AND starts_with(paraphrase, 'Company') AND coalesce(trim(industry), '') = '' THEN size || 'company' || substr(paraphrase, 8) ELSE size || paraphrase END AS paraphrase FROM ({SQL['template_sentences']}) JOIN ({_WORDED}) USING (id) JOIN (SELECT id, industry FROM lead_company) USING (id)")
 def sized_sentences(spark, d):
     """``template_sentences`` with the word for the company's size; the range speaks where the count states none."""
     c = F.col
@@ -250,18 +258,12 @@ def place_aliases(spark, d):
     return vo.priority_aliases(every.distinct())
 
 
-@query("""WITH t AS (SELECT company_id AS term, embedding::DOUBLE[] AS v FROM company_signal WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY company_id LIMIT 40)
-SELECT raw, term, similarity FROM (SELECT s.job_id AS raw, t.term::VARCHAR AS term, round(round(list_cosine_similarity(s.embedding::DOUBLE[], t.v), 9), 6) AS similarity, row_number() OVER (PARTITION BY s.job_id ORDER BY round(list_cosine_similarity(s.embedding::DOUBLE[], t.v), 9) DESC, t.term::VARCHAR) AS n
-FROM job_signal s, t WHERE s.embedding IS NOT NULL AND len(list_filter(s.embedding, lambda x: x <> 0)) > 0) WHERE n = 1""")
-def nearest_terms(spark, d):
-    """The nearest of forty listed vectors for every posting."""
-    some = lambda c: F.exists(c, lambda x: x != 0)
-    terms = load(spark, d, "company_signal", "company_id", "embedding").where(F.col("embedding").isNotNull() & some("embedding")).orderBy("company_id").limit(40).select(F.col("company_id").cast("string").alias("term"), F.col("embedding").alias("vec"))
-    values = load(spark, d, "job_signal", F.col("job_id").alias("raw"), F.col("embedding").alias("vec")).where(F.col("vec").isNotNull() & some("vec"))
-    return vo.nearest_term(values, terms).select("raw", "term", F.round("similarity", 6).alias("similarity"))
+_USABLE = "{0}.embedding IS NOT NULL AND len(list_filter({0}.embedding, lambda x: x <> 0)) > 0"
 
 
-@query()
+@query(f"""SELECT raw, term, round(similarity, 6) AS similarity FROM (SELECT s.job_id AS raw, t.company_id::VARCHAR AS term, round(list_cosine_similarity(s.embedding::DOUBLE[], t.embedding::DOUBLE[]), 9) AS similarity,
+  row_number() OVER (PARTITION BY s.job_id ORDER BY round(list_cosine_similarity(s.embedding::DOUBLE[], t.embedding::DOUBLE[]), 9) DESC, t.company_id::VARCHAR) AS n
+FROM job_signal s, company_signal t WHERE {_USABLE.format('s')} AND {_USABLE.format('t')}) WHERE n = 1""")
 def nearest_companies(spark, d):
     """The nearest of all company vectors for every posting."""
     terms = load(spark, d, "company_signal", F.col("company_id").cast("string").alias("term"), F.col("embedding").alias("vec"))
@@ -272,7 +274,7 @@ def nearest_companies(spark, d):
 # ---- roles -----------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT id, role, level FROM ({role_sql('lead_contact')})")
 def role_classes(spark, d):
     """Function and seniority of every contact's title."""
     return load(spark, d, "lead_contact", "id", "title", "department", "seniority").select("id", ro.function_of(F.col("title"), F.col("department")).alias("role"), ro.seniority_of(F.col("title"), F.col("seniority")).alias("level"))
@@ -283,14 +285,21 @@ def latest_blobs(spark, d):
     return ro.latest_history(load(spark, d, "apollo_contact_data", "id", "lead_contact_id", "fetched_at", "data"), "lead_contact_id").select("id", "lead_contact_id")
 
 
-@query()
+_BLOBS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lead_contact_id ORDER BY fetched_at DESC NULLS LAST, id DESC) AS n FROM apollo_contact_data WHERE data LIKE '%employment_history%' AND lead_contact_id IS NOT NULL) WHERE n = 1"
+_HISTORY = f"""SELECT lead_contact_id, trim(list_filter(jobs, lambda j: NOT coalesce(j.current, false) AND coalesce(regexp_matches(j.organization_name, '(?i){ro.FORMER}'), false))[1].organization_name) AS prior_employer,
+  list_filter(list_transform(list_filter(jobs, lambda j: coalesce(j.current, false)), lambda j: try_cast(substr(j.start_date, 1, 10) AS DATE)), lambda x: x IS NOT NULL)[1] AS landed_at
+FROM (SELECT lead_contact_id, from_json(CASE WHEN json_valid(data) THEN json_extract(data, '$.employment_history') END, '[{{"organization_name": "VARCHAR", "current": "BOOLEAN", "start_date": "VARCHAR"}}]') AS jobs FROM ({_BLOBS}))"""
+
+
+@query(_HISTORY)
 def employment_history(spark, d):
     """Former employer of note and start of the current role."""
     former, landed = ro.history_of(F.col("data"))
     return ro.latest_history(load(spark, d, "apollo_contact_data", "id", "lead_contact_id", "fetched_at", "data"), "lead_contact_id").select("lead_contact_id", former.alias("prior_employer"), landed.alias("landed_at"))
 
 
-@query()
+@query(f"""SELECT company_id, contact_id, role, level, is_alum, census_text FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY list_position({list(ro.RANK)}, level), is_alum DESC, contact_id) AS n
+FROM ({census_sql('prior_employer').replace("FROM (SELECT *", f"FROM (SELECT lead_contact.*, h.prior_employer", 1).replace("FROM lead_contact)", f"FROM lead_contact LEFT JOIN ({_HISTORY}) h ON h.lead_contact_id = lead_contact.id WHERE active)", 1)})) WHERE n <= 5""")
 def role_census(spark, d):
     """The five first contacts of each company with their sentence."""
     rows = ro.census(load(spark, d, "lead_contact"), load(spark, d, "company_canonical", "canonical_id", "member_ids"), load(spark, d, "apollo_contact_data", "id", "lead_contact_id", "fetched_at", "data"))

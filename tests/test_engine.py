@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions.keys import bucket_bounds, days_since, overlap, recency, volume, whole_word
-from rankloom.functions.match import cosine, hashed_vector, lexical_score, max_cosine, phrase_match, words
+from rankloom.functions.match import cosine, hashed_column, hashed_vector, lexical_score, max_cosine, phrase_match, words
 from rankloom.operators.retrieve import company_ranks, fuse, lexical_list, semantic_list, with_01
 from rankloom.operators.score import Terms
 from rankloom.plans.chips import Chips, Group, Value, ground, paraphrase, parse, phrases, triage
-from rankloom.plans.engine import Tables, Vocabulary, compile_predicate, dimension_counts, explain_zero, search
+from rankloom.plans.engine import Tables, Vocabulary, compile_predicate, dimension_counts, filter_report, search, why_empty
 
 
 @pytest.mark.parametrize(
@@ -51,6 +51,8 @@ def test_vectors(spark):
     assert hashed_vector("erp migration") == hashed_vector("ERP  migration") and sum(x * x for x in hashed_vector("a b")) == pytest.approx(1)
     with pytest.raises(ValueError):
         hashed_vector(" .")
+    texts = spark.createDataFrame([("ERP migration, erp",), (" .",), (None,), ("a b c d e f g",)], "t string").select("t", hashed_column("t").alias("v")).collect()
+    assert texts[0].v == pytest.approx(hashed_vector("ERP migration, erp")) and texts[1].v is texts[2].v is None and texts[3].v == pytest.approx(hashed_vector("a b c d e f g"))
 
 
 def test_lists_projection_and_fusion(spark):
@@ -95,9 +97,16 @@ def test_vocabulary(spark, data):
 
 def test_zero_is_explained(spark, data):
     t, v, now = Tables(spark, data), Vocabulary.read(spark, data), F.lit("2026-09-01 00:00:00").cast("timestamp_ntz")
-    why = explain_zero(t, Chips(locations=(Value("Wakanda"),), has_linkedin=True), v, now)
-    assert why["limiter"] == "location Wakanda" and why["limiter_count"] == 0 and why["relax_count"] > 0
-    assert explain_zero(t, Chips(has_linkedin=True), v, now) is None and explain_zero(t, Chips(terms=(Group(("x",)),)), v, now) is None
+
+    def report(chips):
+        return [r.asDict() for r in filter_report(t, compile_predicate(chips, v, now)).orderBy("place").collect()]
+
+    rows = report(Chips(locations=(Value("Wakanda"),), has_linkedin=True))
+    assert [r["filter"] for r in rows] == ["location", "linkedin"] and rows[0]["n_alone"] == 0 < rows[0]["n_others"] and rows[0]["n_field"] is None
+    assert rows[1]["n_field"] == rows[1]["n_alone"] == rows[0]["n_others"] and all(r["n_passing"] == 0 for r in rows)
+    said = why_empty(rows)
+    assert "location" in said and f"{rows[0]['n_others']} would be left" in said
+    assert why_empty(report(Chips(has_linkedin=True))) is None and why_empty([]) is None
     assert search(t, Chips(locations=(Value("Wakanda"),)), v, hashed_vector("a"), now).count() == 0
 
 
