@@ -18,7 +18,7 @@ from ..functions.times import micros, month
 
 #: Keys in a parent range, references in one share of a range, and ranges at most; beyond that many
 #: ranges the arrays get longer, not fewer rows.
-RANGE_KEYS, SHARE_REFS, MOST_RANGES = 200_000, 500_000, 4096
+RANGE_KEYS, SHARE_REFS, MOST_RANGES = 200_000, 500_000, 65_536
 NO_TIME = np.iinfo(np.int64).min
 
 
@@ -92,10 +92,11 @@ def find_orphans(refs: DataFrame, parents: DataFrame, deletions: DataFrame | Non
     both = both.mapInPandas(_in_range(bounds, "key"), "key bigint, made bigint, deleted boolean, range_id int")
     # Counts of a bounded number of ranges decide how many shares a hot range gets.
     shares = {r.range_id: -(-r["count"] // SHARE_REFS) for r in child.groupBy("range_id").count().collect()}
-    hot = {k: v for k, v in shares.items() if v > 1}
+    # One literal array, indexed by the range, however many ranges are hot.
     n_shares = F.lit(1)
-    for k, v in hot.items():
-        n_shares = F.when(F.col("range_id") == k, v).otherwise(n_shares)
+    if any(v > 1 for v in shares.values()):
+        listed = ", ".join(str(max(1, shares.get(k, 1))) for k in range(len(bounds) + 1))
+        n_shares = F.expr(f"element_at(from_json('[{listed}]', 'array<int>'), range_id + 1)")
     child = child.withColumn("share", F.pmod(F.xxhash64("record_id"), n_shares).cast("int"))
     both = both.withColumn("share", F.explode(F.sequence(F.lit(0), n_shares - 1)))
     misses = child.groupBy("range_id", "share").cogroup(both.groupBy("range_id", "share")).applyInPandas(_probe, "record_id bigint, ref_id bigint, reason string, period string")
