@@ -40,6 +40,16 @@ def title_norm(c: str | Column) -> Column:
     return F.lower(F.trim(F.coalesce(_c(c), F.lit(""))))
 
 
+def query_key(c: str | Column) -> Column:
+    """A query by which retypings of it are the same: case and spaces don't count, null is empty."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"^\s+|\s+$", "")), r"\s+", " ")
+
+
+def term_tokens(c: str | Column) -> Column:
+    """The different tokens of a text, as technologies are written: ``c++``, ``.net`` gives ``net``, ``s/4hana`` is one."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit("([a-z0-9][a-z0-9+#./-]*)"), 1))
+
+
 def whole_word(c: str | Column, needle: str) -> Column:
     """``needle`` occurs in the text and is not part of a longer word; null text never matches."""
     found = F.lower(_c(c)).rlike("(?<![a-z0-9])" + re.escape(needle.strip().lower()).replace("\\ ", " ") + "(?![a-z0-9])")

@@ -18,11 +18,23 @@ def pending(rows: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(done.select(*on).distinct(), list(on), "left_anti")
 
 
-def pending_jobs(jobs: DataFrame, companies: DataFrame, done: DataFrame, *, cursor: int = 0, prompt_version: str, model: str, least: int = 200) -> DataFrame:
-    """Active postings of active companies with enough text that this version and model haven't done."""
+def pending_jobs(jobs: DataFrame, companies: DataFrame, done: DataFrame, *, cursor: int = 0, prompt_version: str, model: str, least: int = 200, batch: int | None = None) -> DataFrame:
+    """Active postings of active companies with enough text that this version and model haven't done.
+
+    With ``batch`` the first so many by id, so that the last id is the next cursor.
+    """
     rows = jobs.where(F.col("active") & (F.length("description") > least) & (F.col("id") > cursor)).join(companies.where("active").select(F.col("id").alias("lead_company_id")), "lead_company_id", "left_semi")
     by = done.where((F.col("prompt_version") == prompt_version) & (F.col("model") == model)).select(F.col("job_id").alias("id"))
-    return rows.join(by, "id", "left_anti")
+    left = rows.join(by, "id", "left_anti")
+    return left if batch is None else left.orderBy("id").limit(batch)
+
+
+def pending_roles(contacts: DataFrame, done: DataFrame, *, cursor: int = 0, batch: int | None = None) -> DataFrame:
+    """Active contacts with a title or department that have no row yet; only columns that identify nobody are read."""
+    told = F.coalesce(F.trim("title") != "", F.lit(False)) | F.coalesce(F.trim("department") != "", F.lit(False))
+    rows = contacts.where(F.col("active") & (F.col("id") > cursor) & told).select("id", "lead_company_id", "title", "department", "seniority")
+    left = pending(rows, done.select(F.col("contact_id").alias("id")), ["id"])
+    return left if batch is None else left.orderBy("id").limit(batch)
 
 
 def upsert(old: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -70,6 +82,11 @@ def split_failures(rows: DataFrame, error: Column, raw: Column, key: str) -> tup
     return good, dead
 
 
+def settle_letters(old: DataFrame, dead: DataFrame, done: DataFrame) -> DataFrame:
+    """The side table after a run: new letters take the place of their source's, and sources that went well have none."""
+    return delete_keys(upsert(old, dead, ["source_id"]), done.select("source_id"), ["source_id"])
+
+
 def reposts(jobs: DataFrame, *, days: int = REPOST_DAYS, least: float = REPOST_COSINE) -> DataFrame:
     """``(job_id, is_repost)`` of every posting: an earlier one of its company and title, at most ``days`` before, is that similar.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,3 +59,25 @@ def personal_columns(df: DataFrame) -> list[str]:
 
 def table_counts(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in tables])
+
+
+def polymorphic(rows: DataFrame, kind: str, ref: str, parents: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``(kind, n_rows, n_found)``: references whose table is named by the row itself; rows of a kind without a table have none.
+
+    The keys of all tables are one relation, so that each reference is looked up once, by (kind, key).
+    """
+    keys = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), F.col(key).cast("bigint").alias("ref")).distinct() for k, (df, key) in parents.items()]).withColumn("hit", F.lit(1))
+    each = rows.select(F.col(kind).alias("kind"), F.col(ref).cast("bigint").alias("ref")).join(keys, ["kind", "ref"], "left")
+    return each.groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_found"))
+
+
+def stale_labels(labels: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """Labelled items that no longer exist; measures over them would be wrong."""
+    return orphans(labels, item, items, item).select(item).distinct()
+
+
+def check_labels(labels: DataFrame, items: DataFrame, item: str) -> None:
+    """Raises if any label is stale, with some of them."""
+    gone = [r[0] for r in stale_labels(labels, items, item).orderBy(item).limit(10).collect()]
+    if gone:
+        raise ValueError(f"labels name items that do not exist, among them {gone}")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import term_key
-from ..functions.match import dot
+from ..functions.match import dot, hashed_column
 from ..plans.lineage import cut
 from .retrieve import best_per
 
@@ -30,6 +30,12 @@ def keys_of(vocabulary: DataFrame) -> DataFrame:
     return own.unionByName(other).where("key <> ''").groupBy("key").agg(F.min(F.struct("step", "term")).alias("m")).select("key", "m.term", "m.step")
 
 
+def resolve_industries(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``resolve`` for industries: exact, alias, or the nearest name above a lower cosine; texts have hashed vectors. Blank values are none."""
+    raw = values.select(F.trim("raw").alias("raw")).where("raw <> ''").distinct()
+    return resolve(raw, vocabulary, raw.select("raw", hashed_column("raw").alias("vec")), vocabulary.select("term", hashed_column("term").alias("vec")), near=INDUSTRY_NEAR)
+
+
 def resolve(values: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None = None, term_vectors: DataFrame | None = None, near: float = TECH_NEAR) -> DataFrame:
     """``(raw, term, step, similarity)`` of each different value: exact (1), alias (2), nearest vector (3), or unresolved (4).
 
@@ -134,6 +140,38 @@ def reconcile(vocabulary: DataFrame, declared: DataFrame) -> DataFrame:
     return kept.select("term").join(lists, "term", "left").select("term", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
+def contradictions(vocabulary: DataFrame) -> DataFrame:
+    """``(kind, key, terms)`` of what a hand-made vocabulary must not have: an ``empty`` key, a key of ``two terms``, a ``term as alias``
+    of another, an alias of ``two owners``. A term may restate itself."""
+    terms = vocabulary.select("term", term_key("term").alias("key"))
+    aliases = vocabulary.select("term", F.explode("aliases").alias("a")).select("term", term_key("a").alias("key"))
+    each = terms.withColumn("own", F.lit(True)).unionByName(aliases.withColumn("own", F.lit(False)))
+    by = each.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("own"), F.col("term")))).alias("own"), F.array_sort(F.collect_set(F.when(~F.col("own"), F.col("term")))).alias("other"))
+    foreign = F.size(F.array_except("other", "own")) > 0
+    kind = F.when(F.col("key") == "", "empty").when(F.size("own") > 1, "two terms").when((F.size("own") > 0) & foreign, "term as alias").when((F.size("own") == 0) & (F.size("other") > 1), "two owners")
+    return by.select(kind.alias("kind"), "key", F.array_sort(F.array_union("own", "other")).alias("terms")).where("kind IS NOT NULL")
+
+
+def check_vocabulary(vocabulary: DataFrame) -> None:
+    """Raises if the vocabulary contradicts itself."""
+    if wrong := contradictions(vocabulary).orderBy("kind", "key").limit(10).collect():
+        raise ValueError("; ".join(f"{r.kind} {r.key!r}: {', '.join(r.terms)}" for r in wrong))
+
+
+def spelling_splits(values: DataFrame, column: str) -> DataFrame:
+    """``(family, spellings, n)``: values in use that are spelt in several ways, by their key without any version number at its end."""
+    each = values.select(F.explode(column).alias("v")).where("v IS NOT NULL")
+    family = F.regexp_replace(term_key("v"), r"(?<=[a-z])[0-9]+$", "")
+    by = each.groupBy(family.alias("family")).agg(F.array_sort(F.collect_set("v")).alias("spellings"), F.count("*").alias("n"))
+    return by.where((F.size("spellings") > 1) & (F.col("family") != ""))
+
+
+def dotless(aliases: DataFrame) -> DataFrame:
+    """Aliases as written, and without their full stops: what a column holds and what a person types."""
+    bare = F.replace("alias", F.lit("."), F.lit(""))
+    return aliases.unionByName(aliases.where(F.col("alias").contains(".")).withColumn("alias", bare)).where(F.trim("alias") != "")
+
+
 def seed(hand: DataFrame, corpus: DataFrame) -> DataFrame:
     """Hand-made entries, and every corpus value that none of them names or has as an alias."""
     new = corpus.select(F.col("raw").alias("term")).where("term IS NOT NULL").distinct().withColumn("key", term_key("term")).join(keys_of(hand).select("key"), "key", "left_anti")

@@ -102,22 +102,16 @@ def _and(items: list[str]) -> str:
 
 
 def paraphrase(chips: Chips) -> str:
-    """A sentence of the query to embed; negated parts are left out."""
+    """A sentence of the query to embed, made as those of the documents are; negated parts are left out."""
     by = {s: [_or([a.strip() for a in g.any_of if a.strip()]) for g in chips.positive_groups() if g.source == s and any(a.strip() for a in g.any_of)] for s in SOURCES}
-    parts = []
-    if inds := values(chips.industries):
-        parts.append(f"in {_or(inds)}")
+    about = [(verb, _and(by[source])) for verb, source in (("running", "USES"), ("hiring for", "HIRING"), ("working with", "ANY")) if by[source]]
     if places := values(chips.locations):
-        parts.append(f"based in {_or(places)}")
-    if by["USES"]:
-        parts.append(f"using {_and(by['USES'])}")
-    if by["HIRING"]:
-        parts.append(f"hiring for {_and(by['HIRING'])}")
-    if by["ANY"]:
-        parts.append(f"working with {_and(by['ANY'])}")
+        about.append(("based in", _or(places)))
     if chips.function or chips.seniority:
-        parts.append("with " + " ".join(x.replace("_", " ").lower() for x in (chips.seniority, chips.function) if x) + " roles")
-    return "Companies " + " ".join(parts) if parts else "Companies"
+        about.append(("in", " ".join(x.replace("_", " ").lower() for x in (chips.seniority, chips.function) if x) + " roles"))
+    kind = values(chips.industries)
+    subject = f"{_or(kind)} company" if kind else "Company"
+    return (subject + " " + ", ".join(f"{verb} {what}" for verb, what in about)).strip() + "."
 
 
 _NUMBER = r"([\d,.]+)\s*(k|m|bn?|thousand|million|billion)?"

@@ -78,7 +78,7 @@ def test_chips():
     assert Chips().is_empty() and Chips(terms=(Group((" ",)),)).is_empty() and not Chips(has_linkedin=False).is_empty()
     assert triage(Chips()).companies == () and triage(Chips(intent="ACTION", segments=("a",))) and triage(Chips(segments=("a",))) is None
     c = Chips(terms=(Group(("SAP",), "USES"), Group(("AWS", "Azure"), "HIRING"), Group(("dbt",), negate=True)), industries=(Value("Mining"), Value("Solar", True)), locations=(Value("Ohio"),))
-    assert phrases(c) == ["SAP", "AWS", "Azure", "Mining"] and paraphrase(c) == "Companies in Mining based in Ohio using SAP hiring for AWS or Azure"
+    assert phrases(c) == ["SAP", "AWS", "Azure", "Mining"] and paraphrase(c) == "Mining company running SAP, hiring for AWS or Azure, based in Ohio." and paraphrase(Chips()) == "Company."
     p = parse("companies using SAP, not dbt, in Ohio with more than 500 employees over $2m revenue in the last 3 months", technologies=["SAP", "dbt"], industries=[], places=["Ohio"])
     assert p.terms == (Group(("SAP",), "USES"), Group(("dbt",), "USES", True)) and p.min_employees == 500 and p.min_revenue_usd == 2e6 and p.since_days == 90 and p.locations == (Value("Ohio"),)
     assert ground(Chips(terms=(Group(("SAP", "Oracle")),), locations=(Value("Texas"),)), "who uses sap") == Chips(terms=(Group(("SAP",)),))

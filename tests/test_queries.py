@@ -5,10 +5,10 @@ import math
 import pytest
 from oracle import spark_rows, sql_rows
 
-from rankloom.plans import engine_queries, record_queries, table_queries
+from rankloom.plans import engine_queries, record_queries, table_queries, upkeep_queries
 
 SMALL = "/root/testdata/sf0.001"
-ALL = {k: (f, m.SQL.get(k)) for m in (engine_queries, table_queries, record_queries) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.SQL.get(k)) for m in (engine_queries, table_queries, record_queries, upkeep_queries) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", [k for k, (_, sql) in ALL.items() if sql])
