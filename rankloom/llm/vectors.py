@@ -11,6 +11,7 @@ themselves. Exact copies are one row of the index, so that no group of copies me
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Rows the index is fitted on; rows per cell; cells at most; cells a row is listed in; queries of one share of a cell.
-SAMPLE, CELL_ROWS, MOST_CELLS, LISTED, SHARE_ROWS = 20_000, 300, 4096, 4, 20_000
+#: Rows the index is fitted on at least and at most; rows per cell; cells a row is listed in; queries of one share of a cell.
+SAMPLE, MOST_SAMPLE, CELL_ROWS, LISTED, SHARE_ROWS = 20_000, 400_000, 300, 4, 20_000
+#: Up to so many cells their number grows with the rows, beyond it with the root of the rows, so that neither cells nor their list get too large.
+FLAT_CELLS, ROOT = 4096, 4.0
 SUBSPACES, CENTRES = 16, 16
 #: Inner products above this matter; it sets the weight of the parallel error.
 MATTERS = 0.2
@@ -41,6 +44,25 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.
     return c
 
 
+def n_cells(rows: int) -> int:
+    return max(1, min(round(rows / CELL_ROWS), max(FLAT_CELLS, round(ROOT * rows**0.5))))
+
+
+def sample_rows(rows: int) -> int:
+    """Rows the index is fitted on: sixteen per cell, within the bounds."""
+    return min(MOST_SAMPLE, max(SAMPLE, 16 * n_cells(rows)))
+
+
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centres; many of them are found group by group."""
+    if k <= FLAT_CELLS:
+        return _kmeans(x, k, rng, 8)
+    c = _kmeans(x, round(k**0.5), rng, 8)
+    at = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+    size = np.bincount(at, minlength=len(c))
+    return np.concatenate([_kmeans(x[at == g], max(1, round(k * size[g] / len(x))), rng, 6) for g in np.flatnonzero(size)])
+
+
 class VectorIndex:
     """Cells and codebooks of one column of unit vectors."""
 
@@ -48,8 +70,8 @@ class VectorIndex:
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.width = -(-self.dim // SUBSPACES)
-        self.cells = int(np.clip(round(rows / CELL_ROWS), 1, min(MOST_CELLS, len(sample))))
-        c = _kmeans(sample, self.cells, rng, 8)
+        c = _centres(sample, min(n_cells(rows), len(sample)), rng)
+        self.cells = len(c)
         self.centres = (c / np.maximum(np.linalg.norm(c, axis=1), 1e-9)[:, None]).astype(np.float32)
         self.weight = (self.dim - 1) * MATTERS**2 / (1 - MATTERS**2)
         x = self._split(sample)
@@ -106,7 +128,7 @@ class VectorIndex:
         off -= (off * x).sum(1)[:, None] * x
         off /= np.maximum(np.linalg.norm(off, axis=1), 1e-9)[:, None]
         query = at_least * x + np.sqrt(max(0.0, 1 - at_least**2)) * off
-        tables, codes = self.tables(query.astype(np.float32)), self.pack(self.encode(x))
+        tables, codes = self.tables(_unit(_bytes(_unit(query)).astype(np.float32))), self.pack(self.encode(x))
         score = sum(tables[np.arange(len(x)), j, codes[:, j]] for j in range(SUBSPACES // 2))
         return float(np.quantile(score, SCAN_LOSS))
 
@@ -157,6 +179,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(1))[:, None]).astype(np.float32)
 
 
+def _bytes(unit: np.ndarray) -> np.ndarray:
+    """One byte a number, for the scan; the rerank has the numbers themselves."""
+    return np.round(unit * (127 / np.abs(unit).max(1))[:, None]).astype(np.int8)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    ends = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """Float bytes by significance, so that what vectors have in common lies together and compresses."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.shape[1], 4).transpose(0, 2, 1)).reshape(len(x), 4 * x.shape[1])
@@ -205,10 +238,8 @@ def _enter(index: VectorIndex):
                 ids = piece.column("id").take(pa.array(at)).to_numpy()
                 code = np.ascontiguousarray(index.pack(index.encode(unit))).view(np.int64).ravel()
                 cells = index.nearest_cells(unit)
-                planes = _planes(x)
-                n = index.dim * 4
-                raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * n).astype(np.int32)), pa.py_buffer(planes.tobytes())])
-                # The asking row, with its vector, in its share of its own cell; listings in every share.
+                raw = _binary(_bytes(unit).view(np.uint8))
+                # The asking row, with its shortened vector, in its share of its own cell; listings in every share.
                 home = cells[:, 0]
                 own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.shares[home]
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(ids), pa.array(code), raw], ["cell", "share", "id", "code", "raw"])
@@ -231,16 +262,16 @@ def _ask(index: VectorIndex):
         codes = table.column("code").to_numpy().view(np.uint8).reshape(-1, SUBSPACES // 2)
         raw = table.column("raw").combine_chunks()
         asking = np.flatnonzero(np.asarray(raw.is_valid()))
-        planes = raw.take(pa.array(asking)).to_pylist()
         qs, rs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(asking):
-            for q, r in index.scan(_unit(_floats(planes, index.dim)), codes):
+            short = np.frombuffer(b"".join(raw.take(pa.array(asking)).to_pylist()), np.int8).reshape(-1, index.dim)
+            for q, r in index.scan(_unit(short.astype(np.float32)), codes):
                 qs.append(q)
                 rs.append(r)
         q, r = np.concatenate(qs), np.concatenate(rs)
         other = ids[asking[q]] != ids[r]
         q, r = q[other], r[other]
-        return pa.table({"a": pa.array(ids[asking[q]]), "b": pa.array(ids[r]), "raw": pa.array([planes[i] for i in q], pa.binary())})
+        return pa.table({"a": pa.array(ids[asking[q]]), "b": pa.array(ids[r])})
 
     return ask
 
@@ -249,8 +280,7 @@ def _packed(dim: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = _matrix(b.column("vec"), dim)
-            ends = pa.py_buffer((np.arange(len(x) + 1) * dim * 4).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(_planes(x).tobytes())])], ["b", "other"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), _binary(_planes(x))], ["id", "raw"])
 
     return packed
 
@@ -271,21 +301,27 @@ def _rerank(dim: int, at_least: float):
 def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: float = 0.9) -> DataFrame:  # noqa: A002
     """``(id_a, id_b, cos)``: of every vector its ``k`` nearest others, as far as their cosine reaches ``at_least``.
 
-    Ties go to the smaller id. Defined cases: null, all-zero and non-finite vectors, null ids and vectors
-    whose length isn't the most frequent one are no vectors; scale is ignored; an id counts once for each different vector it
-    has and is never its own neighbour; empty tables give no rows.
+    Ties go to the smaller id. Defined cases: null, all-zero and non-finite vectors and null ids are no vectors; vectors
+    of different lengths have no cosine, so that each length is a collection of its own; scale is ignored; an id counts
+    once for each different vector it has and is never its own neighbour; empty tables give no rows.
     """
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
-    spark = df.sparkSession
-    none = spark.createDataFrame([], "id_a bigint, id_b bigint, cos double")
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return none
-    dim, total = sizes.n, sizes["count"]
+    sizes = rows.groupBy(F.size("vec").alias("n")).count().where("n > 0 AND count > 1").orderBy("n").collect()  # one row per length
+    parts = [_within(rows.where(F.size("vec") == r.n), r.n, r["count"], k, at_least) for r in sizes]
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], _FOUND)
+
+
+_FOUND = "id_a bigint, id_b bigint, cos double"
+
+
+def _within(rows: DataFrame, dim: int, total: int, k: int, at_least: float) -> DataFrame:
+    """``neighbours`` of vectors of one length."""
+    spark = rows.sparkSession
+    none = spark.createDataFrame([], _FOUND)
     marks = cut(rows.mapInArrow(_marks(dim), "id bigint, h1 bigint, h2 bigint"))
     same = marks.distinct().groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "rep")
-    members = cut(marks.join(same, ["h1", "h2"]).select("id", "rep").distinct())
-    step = max(1, -(-total // SAMPLE))
+    members = cut(marks.hint("merge").join(same.hint("merge"), ["h1", "h2"]).select("id", "rep").distinct())
+    step = max(1, -(-total // sample_rows(total)))
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").toArrow()
     _, x = _matrix(drawn.column("vec"), dim)
     if len(x) < 64:
@@ -293,7 +329,7 @@ def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: flo
     if not len(x):
         return none
     index = VectorIndex(_unit(x), total, at_least)
-    shared = spark.sparkContext.broadcast(index)  # bounded: MOST_CELLS centres and 16 small books
+    shared = spark.sparkContext.broadcast(index)  # bounded: at most MOST_SAMPLE / 16 centres and 16 small books
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _enter(shared.value)(batches)
@@ -302,11 +338,13 @@ def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: flo
         return _ask(shared.value)(table)
 
     entries = rows.mapInArrow(enter, _ENTRY)
-    close = entries.groupBy("cell", "share").applyInArrow(ask, "a bigint, b bigint, raw binary")
-    found = close.join(rows.mapInArrow(_packed(dim), "b bigint, other binary"), "b").select("a", "b", "raw", "other").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
+    close = entries.groupBy("cell", "share").applyInArrow(ask, "a bigint, b bigint")
+    packed = rows.mapInArrow(_packed(dim), "id bigint, raw binary")
+    side = lambda c, name: packed.select(F.col("id").alias(c), F.col("raw").alias(name)).hint("merge")
+    found = close.hint("merge").join(side("a", "raw"), "a").hint("merge").join(side("b", "other"), "b").select("a", "b", "raw", "other").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
     # Copies that different tasks listed become their class's smallest id.
     for c in ("a", "b"):
-        found = found.join(members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
+        found = found.hint("merge").join(members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")).hint("merge"), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
     found = found.where("a <> b")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
     nearest = both.groupBy("a", "b").agg(F.max("cos").alias("cos"))
@@ -317,9 +355,9 @@ def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: flo
     best = first(nearest, ["a"], [F.desc("cos"), F.col("b")], k)
     # Copies: of each class its first ids stand for it as neighbours, all of its members ask.
     head = first(members, ["rep"], [F.col("id")], k + 1).select("rep", F.col("id").alias("head"))
-    asked = best.join(members.select(F.col("rep").alias("a"), F.col("id").alias("ma")), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b", "cos")
-    across = asked.join(head.select(F.col("rep").alias("b"), F.col("head").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"), "cos")
-    own = members.join(head, "rep").select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("cos"))
+    asked = best.hint("merge").join(members.select(F.col("rep").alias("a"), F.col("id").alias("ma")).hint("merge"), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b", "cos")
+    across = asked.hint("merge").join(head.select(F.col("rep").alias("b"), F.col("head").alias("mb")).hint("merge"), "b", "left").select("a", F.coalesce("mb", "b").alias("b"), "cos")
+    own = members.hint("merge").join(head.hint("merge"), "rep").select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("cos"))
     every = across.unionByName(own).where("a <> b").groupBy("a", "b").agg(F.max("cos").alias("cos"))
     return first(every, ["a"], [F.desc("cos"), F.col("b")], k).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("cos"))
 

@@ -86,3 +86,30 @@ def test_recall_on_the_tables(spark, data, table, key, column):
     rows = {r[0]: list(r[1]) for r in df.where(f"{column} IS NOT NULL").collect() if any(r[1])}
     want = _brute(sorted(rows.items()), 5, 0.9)
     assert len(got & want) >= 0.97 * len(want) and got <= want
+
+
+def test_each_length_is_a_collection_of_its_own(spark):
+    short, long = _clusters(3, 20, 8), _clusters(4, 30, 64)
+    rows = [(i, v) for i, v in short] + [(1000 + i, v) for i, v in long] + [(5000, [1.0, 2.0])]
+    got = {tuple(r) for r in neighbour_pairs(neighbours(_df(spark, rows), id="id", vector="vec")).collect()}
+    want = _brute(short, 5, 0.9) | {(a + 1000, b + 1000) for a, b in _brute(long, 5, 0.9)}
+    assert len(want) > 30 and len(got & want) >= 0.97 * len(want) and got <= want
+
+
+def test_cells_follow_the_rows(monkeypatch):
+    from rankloom.llm import vectors as ve
+
+    assert ve.n_cells(300) == 1 and ve.n_cells(10**6) == 3333 and ve.n_cells(1_228_800) == 4434 - 338 and ve.n_cells(10**9) > 120_000
+    assert ve.sample_rows(1000) == 20_000 and ve.sample_rows(10**12) == ve.MOST_SAMPLE
+    monkeypatch.setattr(ve, "FLAT_CELLS", 16)
+    x = np.random.default_rng(1).standard_normal((4000, 8)).astype(np.float32)
+    c = ve._centres(x, 100, np.random.default_rng(2))
+    assert 90 <= len(c) <= 110 and np.isfinite(c).all()
+
+
+def test_no_side_that_grows_is_broadcast(spark, data, capsys):
+    from rankloom.llm.queries import p6_found
+
+    p6_found(spark, data).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
