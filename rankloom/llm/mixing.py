@@ -51,10 +51,15 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and reached share of each source, of targets without documents too."""
+    """Target and reached share of each source, of targets without documents too.
+
+    ``share_there`` is the target among the sources that have documents, which get the shares of those that have none.
+    """
     used = mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"), F.max("uses").alias("most_uses"))
     total = used.agg(F.sum("used_tokens").alias("all_tokens"))
-    both = targets.select("source", "target_share", "max_repeats").join(used, "source", "full").join(F.broadcast(total))  # one row
+    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    there = wanted.join(used.where("available_tokens > 0"), "source", "left_semi").agg(F.sum("target_share").alias("all_shares"))
+    both = wanted.join(used, "source", "full").join(F.broadcast(total)).join(F.broadcast(there))  # one row each
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     share = F.when(F.col("all_tokens") > 0, F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens")).otherwise(0.0)
-    return both.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", zero("n_docs"), zero("available_tokens"), zero("used_tokens"), zero("most_uses"), F.round(share, 6).alias("actual_share"))
+    return both.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", F.round(F.when((F.col("available_tokens") > 0) & (F.col("all_shares") > 0), F.coalesce("target_share", F.lit(0.0)) / F.col("all_shares")).otherwise(0.0), 6).alias("share_there"), zero("n_docs"), zero("available_tokens"), zero("used_tokens"), zero("most_uses"), F.round(share, 6).alias("actual_share"))

@@ -30,7 +30,8 @@ def test_shares_and_repeats(spark, partitions):
     assert all(r.uses <= 3 for r in got if r.source == "small") and all(r.uses <= 1 for r in got if r.source == "big")
     shares = {r.source: r for r in mix_shares(out, t.where("source IS NOT NULL")).collect()}
     assert shares["small"].actual_share == pytest.approx(0.4 / 0.9, abs=0.003) and shares["big"].actual_share == pytest.approx(0.5 / 0.9, abs=0.003)
-    assert shares["empty"].used_tokens == 0 and shares["empty"].target_share == 0.1
+    assert shares["empty"].used_tokens == 0 and shares["empty"].target_share == 0.1 and shares["empty"].share_there == 0
+    assert shares["small"].share_there == pytest.approx(0.4 / 0.9, abs=1e-6)
 
 
 def test_partitions_and_order_change_nothing(spark):
