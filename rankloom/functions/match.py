@@ -41,19 +41,18 @@ def _any(cols: list[Column]) -> Column:
     return out
 
 
-def _times(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
-
-
 def lexical_score(tokens: Column, phrases: Sequence[str]) -> Column:
     """Over the different words asked for: the n-th occurrence adds 1/n^2; the mean over the words."""
     asked = sorted({x for w in phrase_words(phrases) for x in w})
-    total = F.lit(0.0)
-    for x in asked:
-        n = _times(tokens, x)
-        series = F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j).cast("double")))
-        total = total + F.lit(WEIGHT) * series / F.lit(REPEATS)
-    return total / F.lit(float(max(1, len(asked))))
+    if not asked:
+        return F.lit(0.0)
+
+    def worth(x: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(1), F.size(tokens) + 1), F.lit(1), F.size(F.filter(tokens, lambda t: t == x)))
+        return F.lit(WEIGHT) * F.aggregate(places, F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j).cast("double")) / F.lit(REPEATS)
+
+    each = F.transform(F.array(*[F.lit(x) for x in asked]), worth)  # one expression, however many words are asked for
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.lit(float(len(asked)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import query_key, term_tokens
+from ..functions.keys import place_key, query_key, term_tokens
 from ..operators import boundary as bo
 from ..operators import ingest as ing
 from ..operators import quality as q
@@ -15,7 +15,7 @@ from .chips import Chips, Group, Value
 from .engine import Tables, Vocabulary
 from .engine_queries import _hashed, _scored_sql, _tokens, asking, now
 from .frontdoor import answer
-from .table_queries import KEY, TECH, _tech
+from .table_queries import _PLACE, KEY, TECH, _tech
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,6 +104,24 @@ def spelling_splits(spark, d):
     return vo.spelling_splits(load(spark, d, "company_signal", "technologies"), "technologies")
 
 
+_CORPUS = " UNION ALL ".join(f"SELECT DISTINCT {_PLACE.format('hq_' + k)} AS alias, {_PLACE.format('hq_' + k)} AS canonical, '{k}' AS kind, {n} AS priority FROM lead_company WHERE active AND trim(hq_{k}) <> ''" for n, k in enumerate(("country", "city", "state"), 1))
+_NAMES = "SELECT term AS a, term FROM canonical_term WHERE kind = 'state' UNION ALL SELECT unnest(aliases) AS a, term FROM canonical_term WHERE kind = 'state'"
+
+
+@query(f"""SELECT alias, canonical, kind FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY priority, canonical) AS n FROM ({_CORPUS}
+UNION ALL SELECT {_PLACE.format('a')} AS alias, {_PLACE.format('term')} AS canonical, 'state' AS kind, 4 AS priority FROM ({_NAMES}) WHERE trim(a) <> ''
+UNION ALL SELECT {_PLACE.format("replace(a, '.', '')")}, {_PLACE.format('term')}, 'state', 4 FROM ({_NAMES}) WHERE contains(a, '.') AND trim(replace(a, '.', '')) <> '')) WHERE n = 1""")
+def place_vocabulary(spark, d):
+    """Spellings of places with and without full stops; what the rows themselves hold always stands for itself."""
+    rows, states = load(spark, d, "lead_company", "active", "hq_country", "hq_city", "hq_state").where("active"), load(spark, d, "canonical_term").where("kind = 'state'")
+    names = states.select(F.col("term").alias("alias"), "term").unionByName(states.select(F.explode("aliases").alias("alias"), "term"))
+    part = lambda df, a, c, kind, n: df.select(place_key(a).alias("alias"), place_key(c).alias("canonical"), F.lit(kind).alias("kind"), F.lit(n).alias("priority")).where("alias <> ''")
+    every = part(vo.dotless(names), "alias", "term", "state", 4)
+    for n, kind in enumerate(("country", "city", "state"), 1):
+        every = every.unionByName(part(rows.select(f"hq_{kind}").distinct(), f"hq_{kind}", f"hq_{kind}", kind, n))
+    return vo.priority_aliases(every.distinct())
+
+
 _RAW = "list_concat(list_concat(coalesce(technologies, []), coalesce(scraped_technologies, [])), coalesce(scraped_tools, []))"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,10 +26,11 @@ def ingest_stream(source: DataFrame, path: str, checkpoint: str, on: Sequence[st
     def batch(rows: DataFrame, _: int) -> None:
         new = rows.dropDuplicates(list(on))
         spark = rows.sparkSession
-        jvm = spark._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        try:
             new = pending(new, spark.read.parquet(path), on)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         new.write.mode("append").parquet(path)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
