@@ -128,7 +128,7 @@ class VectorIndex:
         off -= (off * x).sum(1)[:, None] * x
         off /= np.maximum(np.linalg.norm(off, axis=1), 1e-9)[:, None]
         query = at_least * x + np.sqrt(max(0.0, 1 - at_least**2)) * off
-        tables, codes = self.tables(_unit(_bytes(_unit(query)).astype(np.float32))), self.pack(self.encode(x))
+        tables, codes = self.tables(query.astype(np.float32)), self.pack(self.encode(x))
         score = sum(tables[np.arange(len(x)), j, codes[:, j]] for j in range(SUBSPACES // 2))
         return float(np.quantile(score, SCAN_LOSS))
 
@@ -179,11 +179,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(1))[:, None]).astype(np.float32)
 
 
-def _bytes(unit: np.ndarray) -> np.ndarray:
-    """One byte a number, for the scan; the rerank has the numbers themselves."""
-    return np.round(unit * (127 / np.abs(unit).max(1))[:, None]).astype(np.int8)
-
-
 def _binary(x: np.ndarray) -> pa.Array:
     """The rows of a matrix of bytes."""
     ends = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
@@ -238,8 +233,8 @@ def _enter(index: VectorIndex):
                 ids = piece.column("id").take(pa.array(at)).to_numpy()
                 code = np.ascontiguousarray(index.pack(index.encode(unit))).view(np.int64).ravel()
                 cells = index.nearest_cells(unit)
-                raw = _binary(_bytes(unit).view(np.uint8))
-                # The asking row, with its shortened vector, in its share of its own cell; listings in every share.
+                raw = _binary(_planes(x))
+                # The asking row, with its vector, in its share of its own cell; listings in every share.
                 home = cells[:, 0]
                 own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.shares[home]
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(ids), pa.array(code), raw], ["cell", "share", "id", "code", "raw"])
@@ -262,16 +257,16 @@ def _ask(index: VectorIndex):
         codes = table.column("code").to_numpy().view(np.uint8).reshape(-1, SUBSPACES // 2)
         raw = table.column("raw").combine_chunks()
         asking = np.flatnonzero(np.asarray(raw.is_valid()))
+        planes = raw.take(pa.array(asking)).to_pylist()
         qs, rs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(asking):
-            short = np.frombuffer(b"".join(raw.take(pa.array(asking)).to_pylist()), np.int8).reshape(-1, index.dim)
-            for q, r in index.scan(_unit(short.astype(np.float32)), codes):
+            for q, r in index.scan(_unit(_floats(planes, index.dim)), codes):
                 qs.append(q)
                 rs.append(r)
         q, r = np.concatenate(qs), np.concatenate(rs)
         other = ids[asking[q]] != ids[r]
         q, r = q[other], r[other]
-        return pa.table({"a": pa.array(ids[asking[q]]), "b": pa.array(ids[r])})
+        return pa.table({"a": pa.array(ids[asking[q]]), "b": pa.array(ids[r]), "raw": pa.array([planes[i] for i in q], pa.binary())})
 
     return ask
 
@@ -280,7 +275,7 @@ def _packed(dim: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = _matrix(b.column("vec"), dim)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), _binary(_planes(x))], ["id", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), _binary(_planes(x))], ["b", "other"])
 
     return packed
 
@@ -338,10 +333,9 @@ def _within(rows: DataFrame, dim: int, total: int, k: int, at_least: float) -> D
         return _ask(shared.value)(table)
 
     entries = rows.mapInArrow(enter, _ENTRY)
-    close = entries.groupBy("cell", "share").applyInArrow(ask, "a bigint, b bigint")
-    packed = rows.mapInArrow(_packed(dim), "id bigint, raw binary")
-    side = lambda c, name: packed.select(F.col("id").alias(c), F.col("raw").alias(name)).hint("merge")
-    found = close.hint("merge").join(side("a", "raw"), "a").hint("merge").join(side("b", "other"), "b").select("a", "b", "raw", "other").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
+    close = entries.groupBy("cell", "share").applyInArrow(ask, "a bigint, b bigint, raw binary")
+    other = rows.mapInArrow(_packed(dim), "b bigint, other binary").hint("merge")
+    found = close.hint("merge").join(other, "b").select("a", "b", "raw", "other").mapInArrow(_rerank(dim, at_least), "a bigint, b bigint, cos double")
     # Copies that different tasks listed become their class's smallest id.
     for c in ("a", "b"):
         found = found.hint("merge").join(members.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")).hint("merge"), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
