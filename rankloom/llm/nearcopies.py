@@ -37,7 +37,7 @@ SAMPLE = 512
 #: Costs of a block and of a meeting that the plan of the blocks weighs, in microseconds.
 BLOCK_COST, PAIR_COST = 3.0, 0.06
 #: Members of one block that are compared in one task; larger blocks are split into tiles.
-TILE = 2048
+TILE = 512
 _WORDS = [f"x{k}" for k in range(BITS // 64)]
 
 
