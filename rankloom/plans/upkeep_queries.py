@@ -11,7 +11,7 @@ from ..operators import ingest as ing
 from ..operators import quality as q
 from ..operators import vocabulary as vo
 from ..sources.tables import load
-from .chips import Chips, Group, Value
+from .chips import Chips, Group
 from .engine import Tables, Vocabulary
 from .engine_queries import _hashed, _scored_sql, _tokens, asking, now
 from .frontdoor import answer
