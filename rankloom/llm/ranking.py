@@ -16,8 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-
 #: Points of a group's distribution, accuracy of their sketch (relative error 1/accuracy), winsorised share at each end.
 POINTS, ACCURACY, TAIL = 64, 10_000, 0.01
 
@@ -69,7 +67,6 @@ def rank_items(df: DataFrame, group: str, item: str, scores: Sequence[str], weig
     distributions. Null items are no items. An empty input gives no rows.
     """
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s).alias(f"s{k}") for k, s in enumerate(scores)]).where("i IS NOT NULL").distinct()
-    rows = cut(rows)  # read by the sketches, by the norms and by the ranking itself
     best = closeness(rows, "g", [f"s{k}" for k in range(len(scores))], weights).groupBy("g", "i").agg(F.max("closeness").alias("closeness"))
     if top is None:
         return best.select(F.col("g").alias(group), F.col("i").alias(item), "closeness")
