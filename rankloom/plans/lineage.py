@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a session within one
-    process, as in tests, may leave it unset and gets a folder of this machine; on a cluster, whose
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a session whose executors
+    all run on this machine, as in tests, may leave it unset and gets a folder of it; on a cluster, whose
     executors could not read one, that is an error. Each partition becomes one file, and rows keep their
     partition and their order within it.
     """
@@ -20,7 +20,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
-            if not sc.master.split("[")[0] == "local":
+            if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="rankloom-")
         sc.setCheckpointDir(folder)
