@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All companies of each query with their closeness to the ideal point."""
-    return rank_items(_candidates(spark, d), "query_id", "company_id", ("fused", "best_doc", "confidence"))
+    return rank_items(_candidates(spark, d), "query_id", "company_id", ("fused", "best_doc", "confidence")).withColumn("closeness", F.round("closeness", 6))
 
 
 # ---- 3: near-duplicate records with small edits ----------------------------------------------------
@@ -170,14 +170,15 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 # ---- SQL -------------------------------------------------------------------------------------------
 
 _PLACE = """CASE WHEN s{0} IS NULL OR q{0} IS NULL OR q{0}[1] = q{0}[65] THEN 0.5 WHEN u{0} > b{0} THEN (b{0} + u{0} - 1) / 2.0 / 64 WHEN b{0} = 0 THEN 0.0 WHEN b{0} > 64 THEN 1.0 ELSE (b{0} - 1 + (s{0} - q{0}[b{0}]) / (q{0}[b{0} + 1] - q{0}[b{0}])) / 64 END"""
-_P1_SQL = f"""WITH r AS (SELECT DISTINCT query_id AS g, company_id AS i, fused AS s0, best_doc AS s1, confidence::DOUBLE AS s2 FROM (SELECT DISTINCT query_id, company_id, job_id, fused, best_doc FROM retrieval) LEFT JOIN (SELECT job_id, confidence FROM job_signal) USING (job_id) WHERE company_id IS NOT NULL),
+_P1_CLOSE = f"""WITH r AS (SELECT DISTINCT query_id AS g, company_id AS i, fused AS s0, best_doc AS s1, confidence::DOUBLE AS s2 FROM (SELECT DISTINCT query_id, company_id, job_id, fused, best_doc FROM retrieval) LEFT JOIN (SELECT job_id, confidence FROM job_signal) USING (job_id) WHERE company_id IS NOT NULL),
 q AS (SELECT g, {', '.join(f'quantile_disc(s{k}, {[i / 64 for i in range(65)]}) AS q{k}' for k in range(3))} FROM r GROUP BY 1),
 c AS (SELECT r.*, {', '.join(f'q{k}, len(list_filter(q{k}, lambda x: x < s{k})) AS b{k}, len(list_filter(q{k}, lambda x: x <= s{k})) AS u{k}' for k in range(3))} FROM r JOIN q USING (g)),
 p AS (SELECT g, i, {', '.join(f'greatest(0.01, least(0.99, {_PLACE.format(k)}))::DOUBLE AS p{k}' for k in range(3))} FROM c),
 n AS (SELECT g, {', '.join(f'max(p{k}) AS h{k}, min(p{k}) AS l{k}, sqrt(sum(p{k} * p{k})) AS n{k}' for k in range(3))} FROM p GROUP BY 1),
 d AS (SELECT g, i, sqrt({' + '.join(f'power((p{k} - h{k}) / n{k}, 2)' for k in range(3))}) AS near, sqrt({' + '.join(f'power((p{k} - l{k}) / n{k}, 2)' for k in range(3))}) AS away FROM p JOIN n USING (g)),
-b AS (SELECT g, i, max(round(CASE WHEN near + away > 0 THEN away / (near + away) ELSE 0.5 END, 12)) AS c FROM d GROUP BY 1, 2)
-SELECT g AS query_id, i AS company_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, i) AS k FROM b) WHERE k <= 10"""
+b AS (SELECT g, i, max(round(CASE WHEN near + away > 0 THEN away / (near + away) ELSE 0.5 END, 12)) AS c FROM d GROUP BY 1, 2)"""
+_P1_SQL = f"{_P1_CLOSE} SELECT g AS query_id, i AS company_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, i) AS k FROM b) WHERE k <= 10"
+_P1_RANKING = f"{_P1_CLOSE} SELECT g AS query_id, i AS company_id, round(c, 6) AS closeness FROM b"
 
 _RUNS = """d AS (SELECT id, max(description) AS t FROM lead_company_job WHERE length(description) > 200 GROUP BY 1), w AS (SELECT id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM d),
 r AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS run FROM w WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM r GROUP BY 1),
@@ -189,4 +190,4 @@ s(node, seen) AS (SELECT DISTINCT class_id, class_id FROM k UNION SELECT s.node,
 SELECT k.id AS job_id, class_id, g.group_id, coalesce(l.n, 0) AS n_links FROM k JOIN (SELECT node, min(seen) AS group_id FROM s GROUP BY 1) g ON g.node = class_id LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY 1) l ON l.x = class_id"""
 
 QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p7_found": p7_found, "p7_fused": p7_fused, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
-SQL = {"p1_found": _P1_SQL, "p3_found": _P3_SQL, "p3_groups": _P3_GROUPS, "p7_found": _P7_SQL}
+SQL = {"p1_found": _P1_SQL, "p1_ranking": _P1_RANKING, "p3_found": _P3_SQL, "p3_groups": _P3_GROUPS, "p7_found": _P7_SQL}
