@@ -29,7 +29,8 @@ def _brute(rows, k, least):
     np.fill_diagonal(s, -2)
     out = set()
     for r in range(len(x)):
-        order = sorted(range(len(x)), key=lambda c: (-round(s[r, c], 9), ids[c]))[:k]
+        near = np.flatnonzero(s[r] >= np.partition(s[r], -min(k, len(x)))[-min(k, len(x))] - 2e-9)  # all that may tie with the k-th
+        order = sorted(near, key=lambda c: (-round(s[r, c], 9), ids[c]))[:k]
         out |= {(int(min(ids[r], ids[c])), int(max(ids[r], ids[c]))) for c in order if s[r, c] >= least}
     return out
 
