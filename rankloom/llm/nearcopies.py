@@ -9,13 +9,15 @@ itself tells them apart. Exact copies are one class from the start.
 
 How many hashes make a block follows from the number of texts and from how much unrelated ones have
 in common: longer blocks let fewer of these meet, and their number grows so that a pair at the asked
-share is missed with the same small probability ``MISS`` at any size.
+share is missed with the same small probability ``MISS`` at any size. The rows of all blocks together
+would be many times the texts, so that only some blocks are written at once: the words are kept as
+numbers, each pass makes its own hashes of them, and its files are gone before the next.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
 from .wordhash import GOLD, MIX, code_points, hashes, in_word, mixed, property_of, seed, seeds
 
 #: Probability that a pair of exactly the asked share has no block in common.
@@ -36,6 +38,12 @@ ROUNDS = 12
 SAMPLE = 512
 #: Costs of a block and of a meeting that the plan of the blocks weighs, in microseconds.
 BLOCK_COST, PAIR_COST = 3.0, 0.06
+#: Cost of reading a text's words once more in a further pass, in microseconds.
+PASS_COST = 25.0
+#: Bytes of a row in the files of a pass besides its 8 for each block, and block rows of one partition.
+ROW, PART_ROWS = 80, 4_000_000
+#: The rows of a pass take at most so many times what the kept words take, or so many bytes if that is more.
+PASS_SHARE, PASS_LEAST = 2.0, 256_000_000
 #: Members of one block that are compared in one task; larger blocks are split into tiles.
 TILE = 512
 _WORDS = [f"x{k}" for k in range(BITS // 64)]
@@ -55,7 +63,10 @@ class _Hasher:
 
     def many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of all texts one after the other, repeated ones too, and how many each text has."""
-        h, n = self.word_hashes(texts)
+        return self.runs(*self.word_hashes(texts))
+
+    def runs(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``many`` of texts with the word hashes ``h``, ``n`` of each."""
         counts = np.maximum(0, n - self.run + 1)
         # Each run's first word; runs never reach into the next text.
         at = np.repeat(np.cumsum(n) - n - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -84,8 +95,8 @@ def distance(at_least: float) -> int:
     return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
 
 
-def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """``size`` min-wise hashes (texts x size) of texts with at least one run each.
+def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """``size`` min-wise hashes (texts x size) of texts with at least one run each; others for each ``salt``.
 
     In each round every run is dealt to one of the hashes at random; a hash keeps the smallest of the
     first round that reaches it, so that a text takes a few passes over its runs instead of ``size``. A
@@ -97,7 +108,9 @@ def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     low = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
     half = np.uint64(32)
     for r in range(ROUNDS):
-        y = mixed(runs, seed(r))
+        if r and low.max(initial=0) < np.iinfo(np.uint64).max:
+            break  # every hash has its round
+        y = mixed(runs, seed(r + (salt << 32)))
         place = ((y >> half) * np.uint64(size)) >> half
         np.minimum.at(low, text + place.astype(np.int64), (y & np.uint64(0xFFFFFFFF)) | np.uint64(r << 32))
     left = np.flatnonzero(low == np.iinfo(np.uint64).max)
@@ -109,7 +122,7 @@ def min_hashes(runs: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         many = counts[owner]
         ends = np.cumsum(many)
         at = np.repeat(starts[owner] - (ends - many), many) + np.arange(ends[-1])
-        y = mixed(runs[at], np.repeat(seeds(place + 1000), many))
+        y = mixed(runs[at], np.repeat(seeds(place + 1000 + (salt << 32)), many))
         low[part] = (np.minimum.reduceat(y, ends - many) >> half) | np.uint64(ROUNDS << 32)
     return low.reshape(n, size)
 
@@ -136,13 +149,23 @@ def n_blocks(at_least: float, rows: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log1p(-p))) if p < 1 else 1
 
 
-def plan_blocks(n: int, shares: np.ndarray, at_least: float, most_rows: int = 12) -> tuple[int, int]:
+def pass_sizes(n: int, blocks: int, parts: int, most: float) -> list[int]:
+    """How many blocks each pass has, so that its rows of ``n`` texts in ``parts`` partitions or more take ``most`` bytes; one block at least."""
+    for b in range(blocks, 0, -1):
+        p = max(parts, n * b // PART_ROWS)
+        if b == 1 or n * (ROW * p * (1 - (1 - 1 / p) ** b) + 8 * b) <= most:
+            break
+    k = -(-blocks // b)
+    return [blocks * (i + 1) // k - blocks * i // k for i in range(k)]
+
+
+def plan_blocks(n: int, shares: np.ndarray, at_least: float, most_rows: int = 12, passes: Callable[[int], int] = lambda blocks: 1) -> tuple[int, int]:
     """(blocks, rows) of least cost for ``n`` texts, of which any two have the sampled ``shares`` of runs in common."""
     cost = {}
     for rows in range(2, most_rows + 1):
         b = n_blocks(at_least, rows)
         meet = float((shares**rows).mean()) if len(shares) else 0.0
-        cost[rows] = b * (n * BLOCK_COST + n * (n - 1) / 2 * meet * PAIR_COST)
+        cost[rows] = b * (n * BLOCK_COST + n * (n - 1) / 2 * meet * PAIR_COST) + (passes(b) - 1) * n * PASS_COST
     rows = min(cost, key=lambda r: (cost[r], r))
     return n_blocks(at_least, rows), rows
 
@@ -186,16 +209,50 @@ def _sampled(run: int):
     return sample
 
 
-def _marked(run: int, blocks: int, rows: int, home: np.ndarray):
+_STORED = "ids binary, counts binary, words binary, places binary, bits binary"
+
+
+def _stored(run: int):
+    """Some texts to a row: ids, numbers of words, the different words' hashes, the place of each word among these, fingerprints."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, packed = _Hasher(run), pa.Codec("zstd")
+        for b in batches:
+            for ids, texts in _pieces(b):
+                h, n = hasher.word_hashes(texts)
+                ok = n >= run
+                if not ok.any():
+                    continue
+                h, n = h[np.repeat(ok, n)], n[ok]
+                words, places = np.unique(h, return_inverse=True)
+                places = places.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+                bits = bits_of(min_hashes(*hasher.runs(h, n), BITS))
+                row = (ids[ok].tobytes(), n.astype(np.int64).tobytes(), words.tobytes(), packed.compress(places.tobytes(), asbytes=True), bits.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [c.split()[0] for c in _STORED.split(", ")])
+
+    return store
+
+
+def _read(b: pa.RecordBatch, hasher: _Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, runs, counts, bits) of each row that ``_stored`` made."""
+    packed = pa.Codec("zstd")
+    for k in range(b.num_rows):
+        ids, n, words, places, bits = (b.column(c)[k].as_buffer() for c in range(5))
+        n, words = np.frombuffer(n, np.int64), np.frombuffer(words, np.uint64)
+        kind = np.dtype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+        at = np.frombuffer(packed.decompress(places, int(n.sum()) * kind.itemsize), kind)
+        yield np.frombuffer(ids, np.int64), *hasher.runs(words[at], n), np.frombuffer(bits, np.int64).reshape(len(n), -1)
+
+
+def _marked(run: int, blocks: int, rows: int, home: np.ndarray, salt: int):
     """One row of each text and partition that any of its blocks belongs to: the blocks travel together."""
-    size, parts = max(BITS, blocks * rows), len(home)
+    parts = len(home)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(run)
         for b in batches:
-            for ids, runs, counts in _chunks(b, hasher):
-                low = min_hashes(runs, counts, size)
-                keys, bits = blocks_of(low, blocks, rows), bits_of(low)
+            for ids, runs, counts, bits in _read(b, hasher):
+                keys = blocks_of(min_hashes(runs, counts, blocks * rows, salt), blocks, rows)
                 part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, axis=1, kind="stable")
                 keys, part = np.take_along_axis(keys, order, 1).ravel(), np.take_along_axis(part, order, 1)
@@ -316,33 +373,57 @@ def similar_classes(kept: DataFrame, texts: DataFrame, *, run: int, at_least: fl
     seen = some.mapInArrow(_sampled(run), "low binary").collect()  # 4 KB of each sampled text
     low = np.array([np.frombuffer(r.low, np.uint64) for r in seen]) if seen else np.empty((0, BITS), np.uint64)
     shares = np.concatenate([(low[i + 1 :] == low[i]).mean(1) for i in range(len(low) - 1)]) if len(low) > 1 else np.empty(0)
-    blocks, rows = plan_blocks(n, shares, at_least)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * blocks // 4_000_000)
+    words = cut(own.mapInArrow(_stored(run), _STORED))
+    release(spark)
+    kept_bytes = words.select(F.sum(sum((F.length(c.split()[0]) for c in _STORED.split(", ")), F.lit(0)))).first()[0] or 0
+    most, least = max(PASS_LEAST, PASS_SHARE * kept_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, rows = plan_blocks(n, shares, at_least, passes=lambda b: len(pass_sizes(n, b, least, most)))
+    passes = pass_sizes(n, blocks, least, most)
+    parts = max(least, n * max(passes) // PART_ROWS)
     home = _homes(spark, parts)
     longs = ", ".join(f"{w} bigint" for w in _WORDS)
-    marked = own.mapInArrow(_marked(run, blocks, rows, home), f"home bigint, cls bigint, {longs}, blocks array<bigint>")
-    listed = marked.repartition(parts, "home").select(F.explode("blocks").alias("block"), "cls", *_WORDS).sortWithinPartitions("block")
     limit = distance(at_least)
-    met = cut(listed.mapInArrow(_meet(limit, tile), f"a bigint, b bigint, block bigint, {longs}"))
-    near = met.where("b IS NOT NULL").select("a", "b")
-    large = met.where("b IS NULL").select("block", F.col("a").alias("cls"), *_WORDS)
-    if not large.isEmpty():
-        near = near.unionByName(_tiled(large, limit, tile))
-    pairs = near.distinct()
+    pairs = None
+    for k, some in enumerate(passes, 1):
+        marked = words.mapInArrow(_marked(run, some, rows, home, k), f"home bigint, cls bigint, {longs}, blocks array<bigint>")
+        listed = marked.repartition(parts, "home").select(F.explode("blocks").alias("block"), "cls", *_WORDS).sortWithinPartitions("block")
+        met = cut(listed.mapInArrow(_meet(limit, tile), f"a bigint, b bigint, block bigint, {longs}"))
+        release(spark)
+        near = met.where("b IS NOT NULL").select("a", "b")
+        large = met.where("b IS NULL").select("block", F.col("a").alias("cls"), *_WORDS)
+        if not large.isEmpty():
+            for tiled in _tiled(large, limit, tile, most):
+                near = near.unionByName(tiled)
+        near = near if pairs is None else pairs.unionByName(near)
+        pairs = cut(near.distinct())
+        del met, near, large
+        release(spark)
+    del words
     said = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     both = pairs.hint("merge").join(said("a"), "a").hint("merge").join(said("b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_shares(run), "a bigint, b bigint, share double").where(F.col("share") >= at_least)
 
 
-def _tiled(large: DataFrame, limit: int, tile: int) -> DataFrame:
-    """``(a, b)`` of blocks with many members: a block is cut into shares, and any two shares meet in a task of their own."""
-    sizes = large.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"))
-    cutup = large.join(sizes.hint("merge"), "block").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
+def _tiled(large: DataFrame, limit: int, tile: int, most: float) -> Iterator[DataFrame]:
+    """``(a, b)`` of blocks with many members: a block is cut into shares, and any two shares meet in a task of their own.
+
+    The shares' rows take ``most`` bytes at once; if all take more, some of the meetings follow the others.
+    """
+    spark = large.sparkSession
+    sizes = large.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"), F.count("*").alias("n"))
+    rounds = math.ceil(2 * (ROW + 16) * sizes.select(F.sum(F.col("s") * F.col("n"))).first()[0] / most)
+    cutup = large.join(sizes.drop("n").hint("merge"), "block").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
     left = cutup.withColumn("other", every).select("block", F.col("own").alias("i"), F.col("other").alias("j"), F.col("cls").alias("a"), *_WORDS)
     right = cutup.withColumn("other", every).select("block", F.col("other").alias("i"), F.col("own").alias("j"), F.col("cls").alias("b"), *[F.col(w).alias("y" + w) for w in _WORDS])
     off = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("y" + w))) for w in _WORDS), F.lit(0))
-    return left.hint("merge").join(right, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & (off <= limit)).select("a", "b")
+    for k in range(rounds):
+        x, y = (side.where(F.pmod(F.xxhash64("block", "i", "j"), F.lit(rounds)) == k) if rounds > 1 else side for side in (left, right))
+        found = x.hint("merge").join(y, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & (off <= limit)).select("a", "b")
+        if rounds > 1:
+            found = cut(found.distinct())
+            release(spark)
+        yield found
 
 
 def similar_pairs(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least: float = 0.8, longer_than: int = 0, tile: int = TILE) -> DataFrame:  # noqa: A002
@@ -356,6 +437,7 @@ def similar_pairs(docs: DataFrame, *, id: str, text: str, run: int = 5, at_least
     """
     texts = texts_of(docs, id, text, longer_than)
     kept = cut(classes(texts))
+    release(docs.sparkSession)
     pairs = similar_classes(kept, texts, run=run, at_least=at_least, tile=tile)
     # Copies of one text, in tiles; a class with no run has no pair, not even among its copies.
     sizes = kept.where(F.col("n_words") >= run).groupBy("cls").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("s"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -396,6 +478,7 @@ def version_groups(docs: DataFrame, *, id: str, text: str, run: int = 5, at_leas
     and the number of different texts that it is similar to. Cases as in ``similar_pairs``."""
     texts = texts_of(docs, id, text, longer_than)
     kept = cut(classes(texts))
+    release(docs.sparkSession)
     pairs = cut(similar_classes(kept, texts, run=run, at_least=at_least, tile=tile).select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     groups = components(pairs, kept.where("id = cls").select(F.col("cls").alias("node")))

@@ -175,3 +175,31 @@ def test_min_hashes_agree_as_often_as_runs_are_shared():
             b = bits_of(low)
             assert np.bitwise_count((b[0] ^ b[1]).view(np.uint64)).sum() <= distance(k / (2 * n - k))
         assert abs(np.mean(at) - k / (2 * n - k)) < 0.02
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_blocks_in_passes_give_the_same_pairs_from_fewer_bytes(spark, tile, monkeypatch):
+    from rankloom.llm import nearcopies
+
+    written = []
+    real = nearcopies._marked
+    monkeypatch.setattr(nearcopies, "_marked", lambda run, blocks, *a: written.append(blocks) or real(run, blocks, *a))
+    monkeypatch.setattr(nearcopies, "PASS_LEAST", 50_000)
+    monkeypatch.setattr(nearcopies, "PASS_SHARE", 0.0)
+    rows = _corpus(60)
+    got = [tuple(r) for r in similar_pairs(_df(spark, rows), id="id", text="body", run=3, at_least=0.5, tile=tile).collect()]
+    assert len(written) > 1 and max(written) * 8 * len(rows) <= 50_000
+    assert len(got) == len(set(got)) and set(got) == _brute(rows, 3, 0.5)
+
+
+def test_what_a_pass_writes_follows_the_texts_not_their_number_of_blocks():
+    import numpy as np
+
+    from rankloom.llm.nearcopies import pass_sizes, plan_blocks
+
+    for n in (10**5, 10**7, 10**9):
+        most = max(256e6, 450 * n)
+        blocks, _ = plan_blocks(n, np.full(1000, 0.08), 0.5, passes=lambda b: len(pass_sizes(n, b, 12, most)))
+        sizes = pass_sizes(n, blocks, 12, most)
+        assert sum(sizes) == blocks and min(sizes) >= 1 and max(sizes) - min(sizes) <= 1
+        assert all(n * 80 * min(12, b) * 0.6 <= most for b in sizes) and (n < 10**6) == (len(sizes) == 1)
