@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
 
 #: Rows the index is fitted on at least and at most; rows per cell; cells a row is listed in; queries of one share of a cell.
 SAMPLE, MOST_SAMPLE, CELL_ROWS, LISTED, SHARE_ROWS = 20_000, 400_000, 300, 4, 20_000
@@ -30,15 +30,32 @@ SUBSPACES, CENTRES = 16, 16
 MATTERS = 0.2
 #: Part of the pairs at the least similarity that the code scan may lose.
 SCAN_LOSS = 0.001
+#: Numbers of one intermediate table; whatever is compared with all centres goes in pieces of so many.
+PIECE = 2_000_000
+
+
+def _steps(rows: int, wide: int) -> Iterator[slice]:
+    """Pieces of so many rows that ``wide`` numbers of each are no more than PIECE."""
+    step = max(1, PIECE // max(1, wide))
+    for a in range(0, rows, step):
+        yield slice(a, min(rows, a + step))
+
+
+def _closest(x: np.ndarray, c: np.ndarray, less: np.ndarray | float = 0.0) -> np.ndarray:
+    """Of each row the column of ``x @ c.T - less`` that is greatest."""
+    out = np.empty(len(x), np.int64)
+    for s in _steps(len(x), len(c)):
+        out[s] = (x[s] @ c.T - less).argmax(1)
+    return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        a = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
-        order = np.argsort(a, kind="stable")
-        at, starts = np.unique(a[order], return_index=True)
-        c[at] = np.add.reduceat(x[order], starts, axis=0) / np.diff(np.append(starts, len(x)))[:, None]
+        a = _closest(x, c, 0.5 * (c * c).sum(1))
+        many = np.bincount(a, minlength=k)
+        at = np.flatnonzero(many)
+        c[at] = np.stack([np.bincount(a, x[:, j], k)[at] for j in range(x.shape[1])], 1) / many[at][:, None]
         gone = np.setdiff1d(np.arange(k), at)
         c[gone] = x[rng.choice(len(x), len(gone))]
     return c
@@ -58,7 +75,7 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     if k <= FLAT_CELLS:
         return _kmeans(x, k, rng, 8)
     c = _kmeans(x, round(k**0.5), rng, 8)
-    at = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+    at = _closest(x, c, 0.5 * (c * c).sum(1))
     size = np.bincount(at, minlength=len(c))
     return np.concatenate([_kmeans(x[at == g], max(1, round(k * size[g] / len(x))), rng, 6) for g in np.flatnonzero(size)])
 
@@ -79,17 +96,22 @@ class VectorIndex:
         for _ in range(3):
             self._improve(x, self.encode(sample))
         self.least = self._calibrate(sample, at_least, rng)
-        mine = (sample @ self.centres.T).argmax(1)
+        mine = _closest(sample, self.centres)
         share = np.bincount(mine, minlength=self.cells) * (rows / len(sample))
         self.shares = np.maximum(1, np.ceil(share / SHARE_ROWS)).astype(np.int64)
 
     def _split(self, unit: np.ndarray) -> np.ndarray:
         pad = SUBSPACES * self.width - self.dim
-        return np.pad(unit, ((0, 0), (0, pad))).reshape(len(unit), SUBSPACES, self.width)
+        return (np.pad(unit, ((0, 0), (0, pad))) if pad else unit).reshape(len(unit), SUBSPACES, self.width)
 
     def encode(self, unit: np.ndarray) -> np.ndarray:
         """Codes (rows x SUBSPACES) that lessen the anisotropic loss, by coordinate descent."""
-        x = self._split(unit)
+        out = np.empty((len(unit), SUBSPACES), np.uint8)
+        for s in _steps(len(unit), SUBSPACES * CENTRES):
+            out[s] = self._encode(self._split(unit[s]))
+        return out
+
+    def _encode(self, x: np.ndarray) -> np.ndarray:
         dots = np.stack([x[:, m] @ self.books[m].T for m in range(SUBSPACES)], 1)
         loss = (self.books**2).sum(2)[None] - 2 * dots
         codes = loss.argmin(2)
@@ -108,7 +130,7 @@ class VectorIndex:
     def _improve(self, x: np.ndarray, codes: np.ndarray) -> None:
         """Each centre solves its own least squares under the anisotropic loss."""
         along = np.stack([(x[:, m] * self.books[m][codes[:, m]]).sum(1) for m in range(SUBSPACES)], 1)
-        left = (x * x).sum((1, 2)) - along.sum(1)
+        left = np.einsum("nmw,nmw->n", x, x) - along.sum(1)
         extra = self.weight - 1
         for m in range(SUBSPACES):
             rest = left + along[:, m]
@@ -128,8 +150,10 @@ class VectorIndex:
         off -= (off * x).sum(1)[:, None] * x
         off /= np.maximum(np.linalg.norm(off, axis=1), 1e-9)[:, None]
         query = at_least * x + np.sqrt(max(0.0, 1 - at_least**2)) * off
-        tables, codes = self.tables(query.astype(np.float32)), self.pack(self.encode(x))
-        score = sum(tables[np.arange(len(x)), j, codes[:, j]] for j in range(SUBSPACES // 2))
+        query, codes, score = query.astype(np.float32), self.pack(self.encode(x)), np.empty(len(x), np.float32)
+        for s in _steps(len(x), SUBSPACES // 2 * CENTRES * CENTRES):
+            tables, code = self.tables(query[s]), codes[s]
+            score[s] = sum(tables[np.arange(len(code)), j, code[:, j]] for j in range(SUBSPACES // 2))
         return float(np.quantile(score, SCAN_LOSS))
 
     @staticmethod
@@ -155,6 +179,9 @@ class VectorIndex:
 
     def nearest_cells(self, unit: np.ndarray) -> np.ndarray:
         """The LISTED nearest cells of each row, nearest first."""
+        return np.concatenate([self._nearest(unit[s]) for s in _steps(len(unit), self.cells)])
+
+    def _nearest(self, unit: np.ndarray) -> np.ndarray:
         s = unit @ self.centres.T
         n = min(LISTED, self.cells)
         part = np.argpartition(-s, n - 1, axis=1)[:, :n]
@@ -179,6 +206,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(1))[:, None]).astype(np.float32)
 
 
+def _units(dim: int):
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, x = _matrix(b.column("vec"), dim)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([_unit(x).tobytes()], pa.binary())], ["units"])
+
+    return units
+
+
+def _drawn(rows: DataFrame, dim: int) -> np.ndarray:
+    """The usable vectors of ``rows``, of unit length, as bytes from the tasks on."""
+    got = rows.select("vec").mapInArrow(_units(dim), "units binary").collect()
+    return np.frombuffer(b"".join(r.units for r in got), np.float32).reshape(-1, dim)
+
+
 def _binary(x: np.ndarray) -> pa.Array:
     """The rows of a matrix of bytes."""
     ends = pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
@@ -303,6 +346,7 @@ def neighbours(df: DataFrame, *, id: str, vector: str, k: int = 5, at_least: flo
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     sizes = rows.groupBy(F.size("vec").alias("n")).count().where("n > 0 AND count > 1").orderBy("n").collect()  # one row per length
     parts = [_within(rows.where(F.size("vec") == r.n), r.n, r["count"], k, at_least) for r in sizes]
+    release(df.sparkSession)  # what only told the copies apart
     return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], _FOUND)
 
 
@@ -317,13 +361,12 @@ def _within(rows: DataFrame, dim: int, total: int, k: int, at_least: float) -> D
     same = marks.distinct().groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "rep")
     members = cut(marks.hint("merge").join(same.hint("merge"), ["h1", "h2"]).select("id", "rep").distinct())
     step = max(1, -(-total // sample_rows(total)))
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").toArrow()
-    _, x = _matrix(drawn.column("vec"), dim)
+    x = _drawn(rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), dim)
     if len(x) < 64:
-        _, x = _matrix(rows.select("vec").limit(SAMPLE).toArrow().column("vec"), dim)
+        x = _drawn(rows.limit(SAMPLE), dim)
     if not len(x):
         return none
-    index = VectorIndex(_unit(x), total, at_least)
+    index = VectorIndex(x, total, at_least)
     shared = spark.sparkContext.broadcast(index)  # bounded: at most MOST_SAMPLE / 16 centres and 16 small books
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,19 @@ def test_no_side_that_grows_is_broadcast(spark, data, capsys):
     p6_found(spark, data).explain("formatted")
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_fitting_holds_little_more_than_the_sample():
+    """The sample against all centres at once would be 640 MB here."""
+    import tracemalloc
+
+    x = np.random.default_rng(6).standard_normal((40_000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    index = VectorIndex(x, 1_200_000, 0.9)
+    near = index.nearest_cells(x[:20_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.cells == 4000 and peak < 100e6
+    s = x[:50] @ index.centres.T
+    assert (near[:50] == np.argsort(-s, axis=1)[:, :4]).mean() > 0.99 and (index.shares == 1).all()
